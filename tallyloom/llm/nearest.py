@@ -26,6 +26,8 @@ LOG = "side int, entity long, stretch long, t long, id long, event_time timestam
 _COLUMNS = ["side", "entity", "stretch", "t", "id"]
 _OUT = "left_id long, left_t long, right_id long, right_t long"
 DAY = 86_400_000_000
+#: The stream's clock runs slower than the data's by this factor, so that centuries stay within the range of any timestamp type.
+CLOCK = 1000
 
 
 def nearest_pairs(rows: pd.DataFrame, tolerance: int) -> pd.DataFrame:
@@ -63,7 +65,7 @@ def nearest_pairs(rows: pd.DataFrame, tolerance: int) -> pd.DataFrame:
 def nearest_stream(log: DataFrame, tolerance: int, shift: int, buckets: int) -> DataFrame:
     """The streaming operator: a log (``LOG``) with watermark -> (left_id, left_t, right_id, right_t).
 
-    ``log`` is a streaming DataFrame; ``event_time`` is t minus ``shift``, both in microseconds.
+    ``log`` is a streaming DataFrame; ``event_time`` is t minus ``shift``, in units of ``CLOCK`` microseconds.
     A row must not be later than the watermark's delay allows, as with every streaming join.
     """
 
@@ -72,7 +74,7 @@ def nearest_stream(log: DataFrame, tolerance: int, shift: int, buckets: int) ->
         if not state.hasTimedOut:
             held += [b[_COLUMNS] for b in batches]
         rows = pd.concat(held, ignore_index=True) if held else pd.DataFrame({c: np.array([], dtype=np.int64) for c in _COLUMNS})
-        watermark = state.getCurrentWatermarkMs() * 1000 + shift
+        watermark = state.getCurrentWatermarkMs() * 1000 * CLOCK + shift
         left = rows["side"] == 0
         ready = left & (rows["t"] + tolerance < watermark)
         out = nearest_pairs(rows[ready | (rows["side"] == 1)], tolerance)
@@ -83,7 +85,7 @@ def nearest_stream(log: DataFrame, tolerance: int, shift: int, buckets: int) ->
         if len(keep):
             state.update((pickle.dumps(keep.reset_index(drop=True), protocol=5),))
             # Wake up when every row held now has passed its horizon.
-            due = int(keep["t"].max() + tolerance - shift) // 1000 + 2
+            due = int(keep["t"].max() + tolerance - shift) // (1000 * CLOCK) + 2
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
@@ -94,6 +96,11 @@ def nearest_stream(log: DataFrame, tolerance: int, shift: int, buckets: int) ->
     return keyed.groupBy("bucket").applyInPandasWithState(step, _OUT, "rows binary", "append", "EventTimeTimeout")
 
 
+def _part(number: str, length: int):
+    """The number of the stretch of ``length`` in which a whole number lies, in whole-number arithmetic."""
+    return F.expr(f"({number} - pmod({number}, {length})) div {length}")
+
+
 def _move(spark: SparkSession, source: str, target: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -114,7 +121,7 @@ def nearest_in_time(
     right_time: str = "time",
     stretch: int = 30 * DAY,
     slices: int = 4,
-    rows_per_bucket: int = 50_000,
+    rows_per_bucket: int = 20_000,
 ) -> DataFrame:
     """Each left row with the right row of its entity nearest in time, at most ``tolerance`` microseconds off.
 
@@ -125,7 +132,7 @@ def nearest_in_time(
     other than those named are dropped, whatever they are called.
 
     Stored tables are replayed through the streaming join in order of time: right rows that no
-    left row can reach are first removed by a semi-join on (entity, stretch of two tolerances);
+    left row can reach are first removed by a semi-join on (entity, stretch of half a tolerance);
     the rest is written as a log of ``slices`` time slices, and each slice is given to the stream
     as new files, with the state and watermark of the slices before it. So no row is ever late,
     and state holds one slice at most. A last mark moves the watermark past every horizon.
@@ -141,33 +148,33 @@ def nearest_in_time(
         return spark.createDataFrame([], "left_id long, right_id long, distance long")
 
     def places(length: int):
-        return F.explode(F.sequence(F.floor((F.col("t") - tolerance) / length), F.floor((F.col("t") + tolerance) / length)))
+        return F.explode(F.sequence(_part(f"t - {tolerance}", length), _part(f"t + {tolerance}", length)))
 
-    cell = 2 * tolerance + 1
+    cell = tolerance // 2 + 1
     reachable = lefts.select("entity", places(cell).alias("cell")).distinct()
-    near = rights.where(F.col("t").between(bounds[0] - tolerance, bounds[1] + tolerance)).withColumn("cell", F.floor(F.col("t") / cell))
+    near = rights.where(F.col("t").between(bounds[0] - tolerance, bounds[1] + tolerance)).withColumn("cell", _part("t", cell))
     near = near.join(reachable, ["entity", "cell"], "left_semi")
     log = (
         lefts.select(F.lit(0).alias("side"), "entity", places(stretch).alias("stretch"), "t", "id")
-        .unionByName(near.select(F.lit(1).alias("side"), "entity", F.floor(F.col("t") / stretch).alias("stretch"), "t", "id"))
+        .unionByName(near.select(F.lit(1).alias("side"), "entity", _part("t", stretch).alias("stretch"), "t", "id"))
         .withColumn("stretch", F.col("stretch").cast("long"))
     )
     shift = bounds[0] - tolerance - DAY
     cuts = sorted(set(lefts.approxQuantile("t", [i / slices for i in range(1, slices)], 0.01)))
     number = sum([(F.col("t") >= int(c)).cast("int") for c in cuts], F.lit(0))
     base = scratch_path(spark, "nearest")
-    log.withColumn("event_time", F.timestamp_micros(F.col("t") - shift)).withColumn("slice", number).write.partitionBy("slice").parquet(f"{base}/staged")
+    log.withColumn("event_time", F.timestamp_micros(_part(f"t - ({shift})", CLOCK))).withColumn("slice", number).write.partitionBy("slice").parquet(f"{base}/staged")
     rows = spark.read.parquet(f"{base}/staged").count()
-    end = bounds[1] + 2 * tolerance + DAY
+    end = bounds[1] + 2 * tolerance + DAY  # the clock's millisecond is a second of the data
     mark = spark.range(1).select(
         F.lit(2).alias("side"), F.lit(0).cast("long").alias("entity"), F.lit(0).cast("long").alias("stretch"), F.lit(end).cast("long").alias("t"), F.lit(0).cast("long").alias("id"),
-        F.timestamp_micros(F.lit(end - shift).cast("long")).alias("event_time"),
+        F.timestamp_micros(F.lit((end - shift) // CLOCK).cast("long")).alias("event_time"),
     )
     mark.write.parquet(f"{base}/staged-end")
 
     for i in range(len(cuts) + 2):
         _move(spark, f"{base}/staged/slice={i}" if i <= len(cuts) else f"{base}/staged-end", f"{base}/log/s{i:03}")
-        source = spark.readStream.schema(LOG).option("recursiveFileLookup", True).parquet(f"{base}/log").withWatermark("event_time", "1 second")
+        source = spark.readStream.schema(LOG).option("recursiveFileLookup", True).parquet(f"{base}/log").withWatermark("event_time", "1 millisecond")
         query = (
             nearest_stream(source, tolerance, shift, max(16, rows // rows_per_bucket))
             .writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
