@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.values import live_rows
-from tallyloom.llm import leaks, nearest, packing, splits, terms
+from tallyloom.llm import leaks, nearest, packing, personal, splits, terms
 from tallyloom.sources.tables import table
 
 
@@ -69,6 +69,14 @@ def p8_leaked_spans(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.personal_lines(personal.personal_data(table(spark, folder, "documents"), table(spark, folder, "name_list")))
+
+
+def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.personal_data(table(spark, folder, "documents"), table(spark, folder, "name_list")).select("doc_id", "text")
+
+
 _LIVE = r"""live AS (
   SELECT DISTINCT subject_id, upper(trim(code, E' \t\r\n')) AS code, time,
          CASE WHEN isfinite(numeric_value) THEN numeric_value END AS v
@@ -124,4 +132,6 @@ QUERIES = {
     "p7_pieces": p7_pieces,
     "p8_found": p8_found,
     "p8_leaked_spans": p8_leaked_spans,
+    "p9_found": p9_found,
+    "p9_redacted": p9_redacted,
 }
