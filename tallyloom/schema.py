@@ -9,14 +9,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-OBSERVATIONS = T.StructType.fromDDL("subject_id long, time timestamp_ntz, code string, numeric_value double")
-FREQUENCIES = T.StructType.fromDDL("code string, count long")
-LABELS = T.StructType.fromDDL("subject_id long, prediction_time timestamp_ntz, boolean_value boolean")
-PREDICTIONS = T.StructType.fromDDL(
-    "subject_id long, prediction_time timestamp_ntz, boolean_value boolean, predicted_boolean_value boolean, predicted_boolean_probability double, event_id long"
+_TYPES = {"long": T.LongType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "time": T.TimestampNTZType()}
+
+
+def _table(**columns: str) -> T.StructType:
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in columns.items()])
+
+
+OBSERVATIONS = _table(subject_id="long", time="time", code="string", numeric_value="double")
+FREQUENCIES = _table(code="string", count="long")
+LABELS = _table(subject_id="long", prediction_time="time", boolean_value="boolean")
+PREDICTIONS = _table(
+    subject_id="long", prediction_time="time", boolean_value="boolean", predicted_boolean_value="boolean", predicted_boolean_probability="double", event_id="long"
 )
-TRIALS = T.StructType.fromDDL("trial_name string, tuning_auc double, test_auc double")
-FEATURES = T.StructType.fromDDL("subject_id long, time timestamp_ntz, window string, agg string, code string, value double")
+TRIALS = _table(trial_name="string", tuning_auc="double", test_auc="double")
+FEATURES = _table(subject_id="long", time="time", window="string", agg="string", code="string", value="double")
 
 STATIC_AGGS = ("static/present", "static/first")
 CODE_AGGS = ("code/count",)
