@@ -89,12 +89,13 @@ def key_quantiles(
     sizes = cells.groupBy("k").agg(
         F.sum("c").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("c"))), F.lit(0)).alias("n_values")
     )
-    # Null keys have a place of their own in joins.
-    valued = cells.where(F.col("v").isNotNull()).select(F.struct(F.isnull("k").alias("n"), F.coalesce("k", F.lit(0)).alias("k")).alias("k"), "v", "c")
+    # As a struct of one field a null key is equal to itself, in joins too.
+    whole = F.struct(F.col("k").alias("k"))
+    valued = cells.where(F.col("v").isNotNull()).select(whole.alias("k"), "v", "c")
     targets = F.explode(F.array(*[F.struct(F.lit(names[p]).alias("target"), F.lit(float(p)).alias("p")) for p in probs])).alias("t")
     wanted = (
         sizes.where("n_values > 0")
-        .select(F.struct(F.isnull("k").alias("n"), F.coalesce("k", F.lit(0)).alias("k")).alias("k"), "n_values", targets)
+        .select(whole.alias("k"), "n_values", targets)
         .select("k", "t.target", F.greatest(F.lit(1), F.ceil(F.col("t.p") * F.col("n_values"))).cast("long").alias("rank"))
     )
 
@@ -129,7 +130,7 @@ def key_quantiles(
     for part in done[1:]:
         resolved = resolved.unionByName(part)
     wide = resolved.groupBy("k").agg(*[F.max(F.when(F.col("target") == n, F.col("low"))).alias(n) for n in names.values()])
-    keyed = sizes.withColumn("_k", F.struct(F.isnull("k").alias("n"), F.coalesce("k", F.lit(0)).alias("k")))
+    keyed = sizes.withColumn("_k", whole)
     return keyed.join(wide.withColumnRenamed("k", "_k"), "_k", "left").select(F.col("k").alias(key), "n_rows", "n_values", *names.values())
 
 
