@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import assemble, describe, features, metrics, models, neighbours, prep, rolling, selection, static, subsets, sweep, task, tasks
+from tallyloom.operators import assemble, describe, encode, features, metrics, models, neighbours, prep, rolling, selection, static, subsets, sweep, task, tasks
 from tallyloom.operators.ordering import number_rows
 from tallyloom.plans.tabular_sql import SQL  # noqa: F401
 from tallyloom.schema import ROLLING_AGGS
@@ -75,6 +75,20 @@ def unique_event_index(spark: SparkSession, folder: str) -> DataFrame:
     return features.numbered_index(features.event_index(_measured(spark, folder)))
 
 
+def encoded_code_cells(spark: SparkSession, folder: str) -> DataFrame:
+    events = _events(spark, folder)
+    return encode.code_cells(events, features.event_index(events), describe.code_frequencies(events))
+
+
+def encoded_value_cells(spark: SparkSession, folder: str) -> DataFrame:
+    events = _events(spark, folder)
+    return encode.value_cells(events, features.event_index(events), describe.code_frequencies(events))
+
+
+def feature_indices_by_aggregation(spark: SparkSession, folder: str) -> DataFrame:
+    return encode.indices_of(_select(spark, folder, min_count=20), "value/sum")
+
+
 def static_first(spark: SparkSession, folder: str) -> DataFrame:
     return static.static_first(_measured(spark, folder)).withColumn("value", F.round("value", 6))
 
@@ -255,6 +269,9 @@ QUERIES = {
     "select_codes_combined": partial(_select, min_frequency=0.001, min_count=50, max_features=40),
     "restricted_metadata": restricted_metadata,
     "feature_positions": feature_positions,
+    "feature_indices_by_aggregation": feature_indices_by_aggregation,
+    "encoded_code_cells": encoded_code_cells,
+    "encoded_value_cells": encoded_value_cells,
     "filter_rare_observations": filter_rare_observations,
     "events_projection": events_projection,
     "unique_event_index": unique_event_index,

@@ -52,6 +52,10 @@ _F = """f AS (SELECT code || '/' || kind AS code, n AS count FROM (
   UNION ALL SELECT code, 'code', count(*) FROM e WHERE subject_id IS NOT NULL AND code IS NOT NULL AND time IS NOT NULL GROUP BY 1
   UNION ALL SELECT code, 'value', count(v) FROM e WHERE subject_id IS NOT NULL AND code IS NOT NULL AND time IS NOT NULL GROUP BY 1) WHERE n > 0)"""
 _FREQ = f"WITH {_MEASURED}, {_F}\n"
+_CELLS_OF = f"""WITH {_EVENTS}, {_INDEX}, {_F},
+n AS (SELECT *, row_number() OVER (ORDER BY subject_id, time) - 1 AS "row" FROM i),
+k AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS col FROM f)
+SELECT n."row", k.col, CAST({{value}} AS DOUBLE) AS value FROM e JOIN n USING (subject_id, time) JOIN k ON k.code = e.code || '/{{kind}}' WHERE {{where}}"""
 _CELLS = f"""{_EVENTS}, {_LABELS},
 c7 AS ({_rolled("7d", ["code/count", "value/sum"], "l")}), cf AS ({_rolled("full", ["code/count", "value/sum"], "l")}),
 c AS (SELECT subject_id, time, "window", 'code/count' AS agg, code, CAST(code_count AS DOUBLE) AS value FROM c7
@@ -100,6 +104,9 @@ SQL = {
     "select_codes_combined": _FREQ + "SELECT * FROM f WHERE count / (SELECT sum(count) FROM f) >= 0.001 AND count >= 50 ORDER BY count DESC, code LIMIT 40",
     "restricted_metadata": _FREQ + "SELECT * FROM code_metadata WHERE code IN (SELECT code FROM f WHERE count >= 100)",
     "feature_positions": _FREQ + "SELECT code, row_number() OVER (ORDER BY code) - 1 AS position FROM f WHERE count >= 20",
+    "feature_indices_by_aggregation": _FREQ + "SELECT * FROM (SELECT code, row_number() OVER (ORDER BY code) - 1 AS position FROM f WHERE count >= 20) WHERE code LIKE '%/value'",
+    "encoded_code_cells": _CELLS_OF.format(kind="code", value="1.0", where="true"),
+    "encoded_value_cells": _CELLS_OF.format(kind="value", value="CAST(e.v AS DOUBLE)", where="e.v IS NOT NULL"),
     "filter_rare_observations": _FREQ
     + """, g AS (SELECT code FROM f WHERE count >= 60)
 SELECT subject_id, time, code, CASE WHEN code || CASE WHEN time IS NULL THEN '/static/first' ELSE '/value' END IN (SELECT code FROM g) THEN CAST(v AS DOUBLE) END AS numeric_value
