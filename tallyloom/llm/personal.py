@@ -144,8 +144,9 @@ _D = r"(?<![\w.+/#@\-])"
 _E = r"(?![\w@]|[.\-:/+]\d)"
 #: What may stand before a number that is neither a phone nor an identity number.
 _THING = re.compile(
-    r"(?i)\b(?:lot|part|serial|checksum|crc|hash|digest|catalogue|catalog|item|build|release|version|revision|rev|timeout|bind|port|batch|order|invoice|ticket|issue|sku|model|key|isbn|uuid|sha\d*|md5|offset|size|seed|dsn)"
-    r"(?:\s+(?:no|nr|num|number|id|code))?\.?\s*[:=#]?\s*[\"'<(]?$"
+    r"(?i)\b(?:(?:lot|part|serial|checksum|crc|hash|digest|catalogue|catalog|build|release|version|revision|timeout|invoice|sku|isbn|uuid|sha\d*|md5)"
+    r"(?:\s+(?:item|no|nr|num|number|id|code))?\.?\s*[:=#]?\s*[\"'<(]?"
+    r"|(?:item|batch|order|ticket|issue|model|key|port|bind|offset|size|seed|rev|dsn)(?:\s+(?:no|nr|num|number|id|code))?\.?\s*(?:[:#]\s*|=\s*)?)$"
 )
 _PHONE = re.compile(
     _D
@@ -190,9 +191,9 @@ _NUMBER_FIRST = re.compile(
     rf"|,? (?i:rue|chemin|avenue|impasse|boulevard|allée|place|route|quai|cours|via|calle|piazza|rua) (?:(?i:de la|de l'|du|des|de|d'|della|del|dei|da|do) ?)?[\w'’\-]+(?: {_CAP}){{0,2}}"
     rf"){_REST}"
 )
-_STREET_WORDS = ("straße", "strasse", "str.", "weg ", "platz ", "gasse ", "allee ", "ring ", "ufer ", "damm ")
+_STREET_WORDS = ("straße", "strasse", "str.", "weg ", "platz ", "gasse ", "allee ", "ring ", "ufer ", "damm ", "am ", "im ", "an de", "in de", "auf de", "zum ", "zur ", "beim ", "unter den ", "hinter der ", "vor dem ")
 _STREET_FIRST = re.compile(
-    rf"(?<![\w.\-/])(?:(?=[A-ZÀ-Þ])[\w\-]+?(?i:straße|strasse|str\.|weg|platz|gasse|allee|ufer|damm)|{_CAP} (?i:Allee|Straße|Strasse|Weg|Platz|Gasse|Ring|Ufer|Damm))"
+    rf"(?<![\w.\-/])(?:(?:Am|An der|An den|Im|In der|In den|Auf dem|Auf der|Zum|Zur|Beim|Unter den|Hinter der|Vor dem) {_CAP}|(?=[A-ZÀ-Þ])[\w\-]+?(?i:straße|strasse|str\.|weg|platz|gasse|allee|ufer|damm)|{_CAP} (?i:Allee|Straße|Strasse|Weg|Platz|Gasse|Ring|Ufer|Damm))"
     rf" \d{{1,4}}(?: ?[a-dA-D]\b)?(?![\w\-]|\.\d){_REST}"
 )
 
@@ -288,7 +289,7 @@ def detect(text: str, names: NameList) -> list[tuple[int, int, str]]:
         for m in _STREET_FIRST.finditer(text):
             if add(m.start(), m.end(), "street_address"):
                 addresses.append(m.start())
-    _add_names(text, names, add, set(addresses), {s for s, _, k in found if k != "email"}, {s for s, _ in taken})
+    _add_names(text, names, add, set(addresses), {s for s, _ in taken})
     return sorted(found)
 
 
@@ -307,10 +308,10 @@ def _number_at(text: str, at: int) -> tuple[int, int, str] | None:
     return at, phone.end(), "phone"
 
 
-def _add_names(text: str, names: NameList, add: Callable, addresses: set[int], numbers: set[int], known: set[int]) -> None:
-    for m in _APART.finditer(text) if addresses else ():
+def _add_names(text: str, names: NameList, add: Callable, addresses: set[int], known: set[int]) -> None:
+    for m in _APART.finditer(text) if known else ():
         third = m.start("third")
-        if third in known and third in numbers and not _NO_PERSON.search(m["name"]):
+        if third in known and not _NO_PERSON.search(m["name"]):
             add(m.start("name"), m.end("name"), "name")
     at = 0
     while scan := _CAPITALS.search(text, at):
