@@ -119,7 +119,7 @@ def nearest_in_time(
     right_id: str = "obs_id",
     right_entity: str = "subject_id",
     right_time: str = "time",
-    stretch: int = 30 * DAY,
+    stretch: int | None = None,
     slices: int = 4,
     rows_per_bucket: int = 20_000,
 ) -> DataFrame:
@@ -131,6 +131,10 @@ def nearest_in_time(
     take no part; repeated left ids give one row; empty tables give an empty result; columns
     other than those named are dropped, whatever they are called.
 
+    ``stretch``, eight tolerances unless given, is the length of time that shares a bucket: the
+    rows of an entity are spread over as many buckets as it has stretches, and a left row near
+    the border of two asks in both.
+
     Stored tables are replayed through the streaming join in order of time: right rows that no
     left row can reach are first removed by a semi-join on (entity, stretch of half a tolerance);
     the rest is written as a log of ``slices`` time slices, and each slice is given to the stream
@@ -138,6 +142,7 @@ def nearest_in_time(
     and state holds one slice at most. A last mark moves the watermark past every horizon.
     """
     spark = left.sparkSession
+    stretch = 8 * tolerance + 1 if stretch is None else stretch
     if stretch < 2 * tolerance:
         raise ValueError("a stretch must be longer than two tolerances")
     lefts = left.select(F.col(left_id).cast("long").alias("id"), F.col(left_entity).cast("long").alias("entity"), micros(F.col(left_time)).alias("t")).dropna()

@@ -193,7 +193,7 @@ _NUMBER_FIRST = re.compile(
 )
 _STREET_WORDS = ("straße", "strasse", "str.", "weg ", "platz ", "gasse ", "allee ", "ring ", "ufer ", "damm ", "am ", "im ", "an de", "in de", "auf de", "zum ", "zur ", "beim ", "unter den ", "hinter der ", "vor dem ")
 _STREET_FIRST = re.compile(
-    rf"(?<![\w.\-/])(?:(?:Am|An der|An den|Im|In der|In den|Auf dem|Auf der|Zum|Zur|Beim|Unter den|Hinter der|Vor dem) {_CAP}|(?=[A-ZÀ-Þ])[\w\-]+?(?i:straße|strasse|str\.|weg|platz|gasse|allee|ufer|damm)|{_CAP} (?i:Allee|Straße|Strasse|Weg|Platz|Gasse|Ring|Ufer|Damm))"
+    rf"(?<![\w.\-/])(?:(?=[A-Z])(?i:am|an der|an den|im|in der|in den|auf dem|auf der|zum|zur|beim|unter den|hinter der|vor dem) {_CAP}|(?=[A-ZÀ-Þ])[\w\-]+?(?i:straße|strasse|str\.|weg|platz|gasse|allee|ufer|damm)|{_CAP} (?i:Allee|Straße|Strasse|Weg|Platz|Gasse|Ring|Ufer|Damm))"
     rf" \d{{1,4}}(?: ?[a-dA-D]\b)?(?![\w\-]|\.\d){_REST}"
 )
 
@@ -360,9 +360,16 @@ def _block(text: str, end: int, addresses: set[int]) -> bool:
 
 
 def find_personal(source: str, names: NameList) -> list[tuple[int, int, str]]:
-    """Pieces of personal data in a text, as spans of its own characters: (start, end, kind)."""
-    n = normalise(source)
-    return [(*n.source_span(s, e), kind) for s, e, kind in detect(n.text, names)]
+    """Pieces of personal data in a text, as spans of its own characters, apart and in order: (start, end, kind)."""
+    n, out, at = normalise(source), [], 0
+    for start, end, kind in detect(n.text, names):
+        start, end = n.source_span(start, end)
+        # A piece that begins within a rewritten stretch comes back as the whole stretch: what an earlier piece has is left to it.
+        start = max(start, at)
+        if start < end:
+            out.append((start, end, kind))
+            at = end
+    return out
 
 
 def redact(source: str, found: list[tuple[int, int, str]]) -> str:

@@ -54,7 +54,7 @@ def test_stream_against_brute_force(spark):
     left = [(i, rng.choice([1, 1, 1, 2, None]), rng.choice([hour(), hour(), None]) if i % 7 == 0 else hour()) for i in range(300)]
     right = [(i, rng.choice([1, 1, 2, 3, None]), hour() if i % 9 else None) for i in range(500)]
     # Exactly at the tolerance, just beyond it, on the border of two stretches, far past and far ahead.
-    edge = dt.datetime(1970, 1, 31)
+    edge = dt.datetime(1970, 1, 1)
     left += [(1000, 5, T), (1001, 6, T), (1002, 7, edge), (1003, 8, dt.datetime(1925, 5, 5)), (1004, 9, dt.datetime(2300, 1, 1)), (1005, 9, dt.datetime(2300, 1, 1))]
     right += [(1000, 5, T + dt.timedelta(hours=6)), (1001, 6, T - dt.timedelta(hours=6) - US), (1002, 7, edge - dt.timedelta(minutes=5)), (1003, 8, dt.datetime(1925, 5, 5, 1)), (1004, 9, dt.datetime(2299, 12, 31, 20))]
     # Two equally near: the earlier; many at one time: the smallest id.
