@@ -41,10 +41,15 @@ def day_number(time: Column) -> Column:
 
 
 def micros(time: Column) -> Column:
-    """Microseconds since 1970-01-01 of a timestamp without time zone, whatever the session's zone."""
+    """Microseconds since 1970-01-01 of a timestamp without time zone; the session's zone should be UTC."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), time.cast("timestamp_ntz"))
 
 
+def stretch_number(number: Column, length: int) -> Column:
+    """Which stretch of ``length`` a whole number lies in, exact beyond the precision of doubles."""
+    return F.round((number - F.pmod(number, F.lit(length))) / length).cast("long")
+
+
 def live_rows(
     df: DataFrame, subject: str = "subject_id", code: str = "code", time: str = "time", value: str = "numeric_value"
 ) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.values import micros
+from tallyloom.functions.values import micros, stretch_number
 from tallyloom.schema import ROLLING_AGGS, kind_of, parse_window
 
 #: Column of each aggregation, the partial it is made from, and how partials merge.
@@ -56,7 +56,7 @@ def _outputs(aggs: Sequence[str]) -> list[Column]:
 
 def _bounded(index: DataFrame, partials: DataFrame, sizes: dict[str, int], aggs: Sequence[str]) -> DataFrame:
     longest = max(sizes.values())
-    bucket = lambda t: F.floor(micros(t) / longest)
+    bucket = lambda t: stretch_number(micros(t), longest)
     rows = index.withColumn("_b", bucket(F.col("time")))
     # A partial is wanted in its own bucket and the next.
     spread = partials.withColumnRenamed("time", "_t").withColumn("_b", F.explode(F.array(bucket(F.col("_t")), bucket(F.col("_t")) + 1)))
