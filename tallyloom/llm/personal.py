@@ -191,7 +191,9 @@ _NUMBER_FIRST = re.compile(
     rf"|,? (?i:rue|chemin|avenue|impasse|boulevard|allée|place|route|quai|cours|via|calle|piazza|rua) (?:(?i:de la|de l'|du|des|de|d'|della|del|dei|da|do) ?)?[\w'’\-]+(?: {_CAP}){{0,2}}"
     rf"){_REST}"
 )
-_STREET_WORDS = ("straße", "strasse", "str.", "weg ", "platz ", "gasse ", "allee ", "ring ", "ufer ", "damm ", "am ", "im ", "an de", "in de", "auf de", "zum ", "zur ", "beim ", "unter den ", "hinter der ", "vor dem ")
+_STREET_WORDS = ("straße", "strasse", "str.", "weg ", "platz ", "gasse ", "allee ", " ring ", "ufer ", "damm ")
+#: Prepositions that begin a street's name, as they are written there: in the lower case of running text they mean nothing.
+_STREET_PREPOSITIONS = tuple(w for p in ("Am ", "Im ", "An de", "In de", "Auf de", "Zum ", "Zur ", "Beim ", "Unter de", "Hinter de", "Vor de") for w in (p, p.upper()))
 _STREET_FIRST = re.compile(
     rf"(?<![\w.\-/])(?:(?=[A-Z])(?i:am|an der|an den|im|in der|in den|auf dem|auf der|zum|zur|beim|unter den|hinter der|vor dem) {_CAP}|(?=[A-ZÀ-Þ])[\w\-]+?(?i:straße|strasse|str\.|weg|platz|gasse|allee|ufer|damm)|{_CAP} (?i:Allee|Straße|Strasse|Weg|Platz|Gasse|Ring|Ufer|Damm))"
     rf" \d{{1,4}}(?: ?[a-dA-D]\b)?(?![\w\-]|\.\d){_REST}"
@@ -285,7 +287,7 @@ def detect(text: str, names: NameList) -> list[tuple[int, int, str]]:
         if (m := _NUMBER_FIRST.match(text, m.start())) and add(m.start(), m.end(), "street_address"):
             addresses.append(m.start())
     low = text.lower()
-    if any(w in low for w in _STREET_WORDS):
+    if any(w in low for w in _STREET_WORDS) or any(w in text for w in _STREET_PREPOSITIONS):
         for m in _STREET_FIRST.finditer(text):
             if add(m.start(), m.end(), "street_address"):
                 addresses.append(m.start())

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.skew import skew_lookup
+from tallyloom.operators.skew import hot_keys, skew_lookup
 from tallyloom.workspace import scratch_root
 
 
@@ -32,8 +32,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     own = pairs.select("u").union(pairs.select("v")).distinct()
     edges = pairs.where("u <> v").select("u", "v").union(pairs.where("u <> v").select("v", "u")).distinct().checkpoint()
     labels = own.select(F.col("u").alias("id"), F.col("u").alias("component")).checkpoint()
+    hubs = hot_keys(edges, "v")
     while True:
-        seen = skew_lookup(edges, "v", labels, "id", [F.col("component").alias("_c")])
+        seen = skew_lookup(edges, "v", labels, "id", [F.col("component").alias("_c")], hubs)
         nearest = seen.groupBy("u").agg(F.min("_c").alias("_m"))
         told = labels.join(nearest.withColumnRenamed("u", "id"), "id", "left").withColumn("_m", F.least("component", "_m"))
         # What a member learns, its root learns too.
