@@ -27,8 +27,7 @@ def select_features(
     if min_frequency is not None:
         if not 0 <= min_frequency <= 1:
             raise ValueError("a frequency lies between 0 and 1")
-        total = out.agg(F.sum("count").alias("_total"))
-        out = out.join(F.broadcast(total), F.col("count") / F.col("_total") >= min_frequency).drop("_total")
+        out = out.where(F.col("count") / out.agg(F.sum("count")).scalar() >= min_frequency)
     if min_count is not None:
         out = out.where(F.col("count") >= min_count)
     if max_features is not None:

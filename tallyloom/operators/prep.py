@@ -66,8 +66,8 @@ def impute(rows: DataFrame, features: DataFrame, strategy: str, keys: Sequence[s
     """
     keys = list(keys)
     fills = fill_values(features, strategy, fit_on)
-    # The columns travel with each row as one list, so the table is filled without a cross join.
-    listed = fills.agg(F.collect_list(F.struct(*COLUMN, "fill")).alias("_all"))
-    every = rows.select(*keys).distinct().join(F.broadcast(listed), F.lit(True)).select(*keys, F.explode("_all").alias("_c")).select(*keys, "_c.*")
+    # The columns are one list, a scalar to each row.
+    listed = fills.agg(F.collect_list(F.struct(*COLUMN, "fill"))).scalar()
+    every = rows.select(*keys).distinct().select(*keys, F.explode(listed).alias("_c")).select(*keys, "_c.*")
     out = every.join(features, [*keys, *COLUMN], "left")
     return out.select(*keys, *COLUMN, F.coalesce("value", "fill").alias("value"))

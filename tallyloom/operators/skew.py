@@ -16,21 +16,24 @@ from tallyloom.functions.values import finite
 from tallyloom.workspace import staged
 
 
-def hot_keys(df: DataFrame, key: str, share: int = 1000) -> list:
-    """Keys with more than one in ``share`` of all rows: fewer than ``share`` of them, by arithmetic."""
+def hot_keys(df: DataFrame, key: str, share: int = 1000, least: int = 10_000) -> list:
+    """Keys with more than one in ``share`` of all rows, and more than ``least``: fewer than ``share`` of them, by arithmetic."""
+    rows = df.count()
+    if rows <= least:
+        return []
+    limit = max(least, rows // share)
     counts = df.groupBy(key).count()
-    limit = max(1, df.count() // share)
     return [r[0] for r in counts.where((F.col("count") > limit) & F.col(key).isNotNull()).select(key).collect()]
 
 
-def skew_lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, columns: Sequence[str], share: int = 1000) -> DataFrame:
+def skew_lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, columns: Sequence[str], hot: list | None = None) -> DataFrame:
     """Left join with a table that has each key once, without one task per hot key of ``left``.
 
-    Rows of hot keys (fewer than ``share`` keys, see ``hot_keys``) are matched by a broadcast of
-    those keys' rows, which is bounded by ``share`` rows whatever the size of the data; all other
-    rows by an ordinary join. Null keys find nothing.
+    Rows of the ``hot`` keys (those of ``hot_keys`` unless given) are matched by a broadcast of
+    those keys' rows, fewer than 1000 whatever the size of the data; all other rows by an
+    ordinary join. Null keys find nothing.
     """
-    hot = hot_keys(left, key, share)
+    hot = hot_keys(left, key) if hot is None else hot
     found = right.select(F.col(right_key).alias("_k"), *columns)
 
     def joined(rows: DataFrame, table: DataFrame) -> DataFrame:

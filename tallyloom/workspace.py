@@ -1,7 +1,8 @@
 """Shared scratch space: where iterative operators cut lineage.
 
 On a cluster the folder is the one named by ``spark.checkpoint.dir``; only where that setting is
-absent (tests, a laptop) is a folder made here, under the system's temporary directory.
+absent, and Spark runs on one machine (tests, a laptop), is a folder made here, under the system's
+temporary directory; a cluster without the setting is an error.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ def scratch_root(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if sc.applicationId not in _own:
+        if sc.getCheckpointDir():
+            return sc.getCheckpointDir().rstrip("/")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         _own[sc.applicationId] = tempfile.mkdtemp(prefix="tallyloom-")
         sc.setCheckpointDir(_own[sc.applicationId])
     return _own[sc.applicationId]

@@ -59,7 +59,9 @@ def test_heavy_keys_count_nulls_and_repeats(spark):
 def test_lookup_is_a_left_join(spark):
     left = spark.createDataFrame([(1, i) for i in range(3000)] + [(i, i) for i in range(2, 400)] + [(None, 0)], "k long, i long")
     right = spark.createDataFrame([(i, str(i)) for i in range(0, 300)], "id long, name string")
-    assert hot_keys(left, "k", 100) == [1]
-    out = skew_lookup(left, "k", right, "id", ["name"], 100)
+    hot = hot_keys(left, "k", 100, 500)
+    assert hot == [1] and hot_keys(left, "k") == []
+    out = skew_lookup(left, "k", right, "id", ["name"], hot)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, skew_lookup(left, "k", right, "id", ["name"]).collect()), key=repr)
     assert out.count() == left.count()
     assert out.where("k = 1 and name = '1'").count() == 3000 and out.where("name is null").count() == 101
