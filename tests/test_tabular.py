@@ -145,7 +145,7 @@ def rolled(df):
 EVENT = st.tuples(st.sampled_from([1, 2]), st.one_of(st.none(), st.integers(-200, 200).map(lambda h: T + 3 * h * H)), st.sampled_from(["A", "B//x/y", None]), st.sampled_from([None, 0.0, -1.5, 2.5]))
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(EVENT, min_size=1, max_size=25))
 def test_two_plans_and_a_naive_one_agree(spark, rows):
     windows = ["6h", "7d", "full"]
@@ -202,7 +202,7 @@ def naive_asof(t, times, forward, strict):
     return min(ok, default=None) if forward else max(ok, default=None)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from([1, 2]), st.integers(0, 300)), max_size=15), st.lists(st.tuples(st.sampled_from([1, 2, 3]), st.integers(-20, 320)), min_size=1, max_size=15), st.booleans())
 def test_asof(spark, events, left, strict):
     e = spark.createDataFrame([(s, T + d * D) for s, d in events], "subject_id long, time timestamp_ntz")

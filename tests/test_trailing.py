@@ -66,7 +66,7 @@ def test_cover_is_exact_and_short():
             assert sorted(days) == list(range(lo, hi + 1)) and len(nodes) <= 2 * 4
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.integers(0, 10**6))
 def test_corrections_equal_rebuilding(spark, seed):
     rows = random_rows(seed, 30, 90)
