@@ -4,10 +4,15 @@ The window of size W that ends at t holds the events in (t - W, t]. Events of a
 share a time and code are first merged to one *partial* (count, value count, sum, sum of squares,
 least, greatest); all six aggregations of all windows are then made from partials in one pass.
 
-Two plans give the same rows. Bounded windows join index rows and partials on (subject, bucket of
-time), the bucket as long as the longest window, so that a row meets two buckets only and a subject
-with a third of all rows is spread over its buckets. The full history runs a window over each
-(subject, code), which a hot subject splits by its codes.
+What a code's windows hold changes only where an event comes in or, W later, goes out. So the
+aggregations are computed at these *points* alone, by RANGE frames, and hold until the next one.
+Points are placed among the subject's index rows by their number; a stretch of rows is written
+out from blocks of index times at the very end. Nothing of the size of the result is ever
+shuffled or sorted.
+
+Points are sorted within (subject, code, chunk of time), with the partials of the chunk before
+as context, and what is older comes from one row per chunk: a subject, or a subject's code, with
+a third of all rows is spread over its chunks.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.values import micros, stretch_number
+from tallyloom.operators.asof import count_until
 from tallyloom.schema import ROLLING_AGGS, kind_of, parse_window
 
 #: Column of each aggregation, the partial it is made from, and how partials merge.
@@ -31,6 +37,15 @@ _PARTS = {
 }
 
 
+_MERGES = {"n": F.sum, "nv": F.sum, "s": F.sum, "ss": F.sum, "lo": F.min, "hi": F.max}
+#: Index times are kept in blocks of so many rows of a subject.
+_BLOCK = 1024
+#: Points are sorted in chunks of time as long as the longest bounded window, but no shorter than 30 days.
+_LEAST_CHUNK = 30 * 86_400_000_000
+#: After every time there is.
+_END = "9999-12-31 00:00:00"
+
+
 def check_rolling(agg: str) -> None:
     kind_of(agg)
     if agg not in _PARTS:
@@ -54,33 +69,71 @@ def _outputs(aggs: Sequence[str]) -> list[Column]:
     return [F.col(_PARTS[a][0]).cast("long" if a.endswith("count") else "double").alias(_PARTS[a][0]) for a in aggs]
 
 
-def _bounded(index: DataFrame, partials: DataFrame, sizes: dict[str, int], aggs: Sequence[str]) -> DataFrame:
-    longest = max(sizes.values())
-    bucket = lambda t: stretch_number(micros(t), longest)
-    rows = index.withColumn("_b", bucket(F.col("time")))
-    # A partial is wanted in its own bucket and the next.
-    spread = partials.withColumnRenamed("time", "_t").withColumn("_b", F.explode(F.array(bucket(F.col("_t")), bucket(F.col("_t")) + 1)))
-    age = micros(F.col("time")) - micros(F.col("_t"))
-    pairs = rows.join(spread, ["subject_id", "_b"]).withColumn("_age", age).where(F.col("_age").between(0, longest - 1))
-    need = {"n": "code/count", **{_PARTS[a][1]: a for a in aggs}}
-    parts = [
-        _PARTS[a][2](F.when(F.col("_age") < size, F.col(part))).alias(f"{window}|{part}") for window, size in sizes.items() for part, a in need.items()
-    ]
-    grouped = pairs.groupBy("subject_id", "time", "code").agg(*parts)
-    one = [
-        F.struct(F.lit(window).alias("window"), F.col(f"`{window}|n`").alias("_n"), *[F.col(f"`{window}|{_PARTS[a][1]}`").alias(_PARTS[a][0]) for a in aggs]) for window in sizes
-    ]
-    return grouped.select("subject_id", "time", "code", F.explode(F.array(*one)).alias("_w")).select("subject_id", "time", "code", "_w.*").where("_n > 0").drop("_n")
+def _older(part: str, merge, chunks: Column) -> Column:
+    """A partial merged over all chunks before this one."""
+    return merge(part).over(chunks)
 
 
-def _full(index: DataFrame, partials: DataFrame, aggs: Sequence[str]) -> DataFrame:
-    born = partials.groupBy("subject_id", "code").agg(F.min("time").alias("_born"))
-    spine = index.join(born, "subject_id").where("time >= _born").select("subject_id", "time", "code", F.lit(0).alias("_own"))
-    # Partials join the spine as rows of their own kind: no second join, and partials off the index count too.
-    both = partials.withColumn("_own", F.lit(1)).unionByName(spine, allowMissingColumns=True)
-    so_far = Window.partitionBy("subject_id", "code").orderBy("time").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    need = [_PARTS[a][2](_PARTS[a][1]).over(so_far).alias(_PARTS[a][0]) for a in aggs]
-    return both.select("subject_id", "time", "code", "_own", *need).where("_own = 0").drop("_own").withColumn("window", F.lit("full"))
+def _held(partials: DataFrame, index: DataFrame, sizes: dict[str, int | None], aggs: Sequence[str]) -> DataFrame:
+    """Stretches of index rows over which all windows of a code hold the same.
+
+    subject_id, code, ``_row`` (first) and ``_end`` (one past the last), and ``<window>|<part>``.
+    """
+    key = ["subject_id", "code"]
+    bounded = {w: size for w, size in sizes.items() if size is not None}
+    length = max([*bounded.values(), _LEAST_CHUNK])
+    need = {"n": F.sum, **{_PARTS[a][1]: _PARTS[a][2] for a in aggs}}
+    parts = ["n", "nv", "s", "ss", "lo", "hi"]
+
+    leaving = [partials.select(*key, F.timestamp_add("MICROSECOND", F.lit(size).cast("long"), F.col("time")).alias("time")) for size in sorted(set(bounded.values()))]
+    points = partials.select(*key, "time", *parts)
+    for p in [*leaving, partials.select(*key).distinct().withColumn("time", F.lit(_END).cast("timestamp_ntz"))]:
+        points = points.unionByName(p, allowMissingColumns=True)
+    # The number of index rows before a point is the number of the first row at or after it.
+    points = count_until(points, index, "time", "_row", strict=True)
+    us = micros(F.col("time"))
+    points = points.withColumn("_us", us).withColumn("_chunk", stretch_number(us, length)).withColumn("_own", F.lit(1))
+
+    by_chunk = points.groupBy(*key, "_chunk").agg(F.min("_row").alias("_first"), *[_MERGES[p](p).alias(p) for p in parts])
+    before = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = by_chunk.select(
+        *key, "_chunk", F.lead("_first").over(Window.partitionBy(*key).orderBy("_chunk")).alias("_next"), *[_older(p, _MERGES[p], before).alias(f"_old_{p}") for p in need]
+    )
+
+    rows = points
+    if bounded:
+        context = partials.select(*key, "time", *parts, micros(F.col("time")).alias("_us"))
+        context = context.withColumn("_chunk", stretch_number(F.col("_us"), length) + 1).withColumn("_own", F.lit(0))
+        rows = points.unionByName(context, allowMissingColumns=True)
+    within = Window.partitionBy(*key, "_chunk").orderBy("_us")
+    so_far = within.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    columns = [F.lead("_row").over(within.orderBy("_us", "_own")).alias("_following")]
+    for w, size in sizes.items():
+        for p, merge in need.items():
+            if size is None:
+                columns.append(merge(F.when(F.col("_own") == 1, F.col(p))).over(so_far).alias(f"{w}|{p}"))
+            else:
+                columns.append(merge(p).over(within.rangeBetween(-(size - 1), Window.currentRow)).alias(f"{w}|{p}"))
+    held = rows.select(*key, "_chunk", "_row", "_own", *columns).where("_own = 1").join(carried, [*key, "_chunk"])
+    out = []
+    for w, size in sizes.items():
+        for p in need:
+            here = F.col(f"`{w}|{p}`")
+            if size is None:
+                old = F.col(f"_old_{p}")
+                # A null on one side leaves the other.
+                both = F.least(here, old) if p == "lo" else F.greatest(here, old) if p == "hi" else F.coalesce(here + old, here, old)
+                here = both
+            out.append(here.alias(f"{w}|{p}"))
+    end = F.coalesce("_following", "_next")
+    return held.select(*key, "_row", end.alias("_end"), *out).where("_row < _end")
+
+
+def _times(index: DataFrame) -> DataFrame:
+    """Index times in blocks of ``_BLOCK`` rows of a subject: subject_id, ``_block``, ``_times`` in order."""
+    numbered = count_until(index.withColumn("_at", F.col("time")), index, "time", "_row", strict=True)
+    blocks = numbered.groupBy("subject_id", stretch_number(F.col("_row"), _BLOCK).alias("_block"))
+    return blocks.agg(F.sort_array(F.collect_list("time")).alias("_times"))
 
 
 def rolling_features(
@@ -101,17 +154,18 @@ def rolling_features(
     index = index.select("subject_id", "time").where("subject_id is not null and time is not null").distinct()
     partials = collapse_same_time(events, scale) if partials is None else partials
     sizes = {w: parse_window(w) for w in windows}
-    bounded = {w: s for w, s in sizes.items() if s is not None}
-    tables = []
-    if bounded:
-        tables.append(_bounded(index, partials, bounded, aggs))
-    for w in sizes:
-        if sizes[w] is None:
-            tables.append(_full(index, partials, aggs).withColumn("window", F.lit(w)))
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out.select("subject_id", "time", "code", "window", *_outputs(aggs))
+    held = _held(partials, index, sizes, aggs)
+    first, last = stretch_number(F.col("_row"), _BLOCK), stretch_number(F.col("_end") - 1, _BLOCK)
+    placed = held.withColumn("_block", F.explode(F.sequence(first, last))).join(_times(index), ["subject_id", "_block"])
+    start = F.greatest(F.col("_row") - F.col("_block") * _BLOCK, F.lit(0))
+    stop = F.least(F.col("_end") - F.col("_block") * _BLOCK, F.lit(_BLOCK))
+    cells = [
+        F.struct(F.lit(w).alias("window"), F.col(f"`{w}|n`").alias("_n"), *[F.col(f"`{w}|{_PARTS[a][1]}`").alias(_PARTS[a][0]) for a in aggs]) for w in sizes
+    ]
+    # Windows that hold nothing go before times are written out.
+    placed = placed.select("subject_id", "code", F.slice("_times", (start + 1).cast("int"), (stop - start).cast("int")).alias("_at"), F.explode(F.array(*cells)).alias("_w"))
+    placed = placed.where("_w._n > 0").select("subject_id", "code", "_at", "_w.*")
+    return placed.select("subject_id", F.explode("_at").alias("time"), "code", "window", *_outputs(aggs))
 
 
 def rolling_by_spine(index: DataFrame, events: DataFrame, windows: Sequence[str], aggs: Sequence[str] = ROLLING_AGGS, scale: int | None = None) -> DataFrame:
