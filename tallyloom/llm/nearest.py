@@ -84,8 +84,9 @@ def nearest_stream(log: DataFrame, tolerance: int, shift: int, buckets: int) ->
         keep = rows[waiting | ((rows["side"] == 1) & (rows["t"] >= earliest - tolerance))]
         if len(keep):
             state.update((pickle.dumps(keep.reset_index(drop=True), protocol=5),))
-            # Wake up when every row held now has passed its horizon.
-            due = int(keep["t"].max() + tolerance - shift) // (1000 * CLOCK) + 2
+            # Wake up when the first waiting row passes its horizon, or else to forget the last right row.
+            first = rows.loc[waiting, "t"].min() if waiting.any() else keep["t"].max()
+            due = int(first + tolerance - shift) // (1000 * CLOCK) + 2
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
