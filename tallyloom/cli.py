@@ -1,13 +1,15 @@
 """Command line: python -m tallyloom.cli STAGE name=value ...
 
-Stages: describe, tabularize, cache-task, model, subsets. Parameters are those of ``TabConfig``;
-``subsets`` takes the items themselves. A stage whose output is complete is skipped unless
-``overwrite=true``.
+Stages: describe, tabularize, cache-task, model, sweep, subsets. Parameters are those of
+``TabConfig``; ``model`` and ``sweep`` also take ``model=NAME``, ``sweep`` ``trials=N`` and
+``keep=K``; ``subsets`` takes the items themselves. A stage whose output is complete is skipped
+unless ``overwrite=true``.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,15 @@ from tallyloom.sources.sinks import finished, read_features, write_features, wri
 from tallyloom.sources.tables import read_labels, read_observations
 
 
+#: What a sweep draws from for each model.
+SPACES = {
+    "logistic_regression": {"regParam": (1e-4, 1.0)},
+    "sgd": {"regParam": (1e-4, 0.1), "elasticNetParam": (0.0, 1.0)},
+    "random_forest": {"numTrees": (10, 60), "maxDepth": (2, 10)},
+    "gradient_boosting": {"maxIter": (5, 30), "maxDepth": (2, 6), "stepSize": (0.01, 0.3)},
+}
+
+
 class Stages:
     """The stages of a run; all paths are derived here, below ``output_dir``."""
 
@@ -97,15 +108,39 @@ class Stages:
             aligned = self.spark.read.parquet(self.labels_path)
             write_features(task.gather_rows(aligned, cells.drop("split")).join(splits, "subject_id"), self.cache_path, overwrite=self.c.overwrite)
 
-    def model(self, name: str = "logistic_regression", **params) -> float:
-        """Train on train, score tuning, write predictions of tuning and held_out; the tuning AUC, 0.0 without features."""
+    def matrix(self, windows: Sequence[str], aggs: Sequence[str]) -> DataFrame | None:
+        """Labels with their vectors; None if no feature is left."""
         try:
             names = features.selected_names(self.selected())
         except ValueError:
-            return 0.0
-        columns = assemble.column_table(names, self.c.windows, self.c.aggs)
+            return None
+        columns = assemble.column_table(names, windows, aggs)
         labels = task.binarized(self.spark.read.parquet(self.labels_path))
-        rows = assemble.sparse_vectors(labels, read_features(self.spark, self.cache_path, self.c.windows, self.c.aggs).drop("split"), columns)
+        return assemble.sparse_vectors(labels, read_features(self.spark, self.cache_path, windows, aggs).drop("split"), columns)
+
+    def sweep(self, name: str = "logistic_regression", trials: int = 10, keep: int = 3, threads: int = 2) -> str | None:
+        """Seeded trials over subsets of windows and aggregations and the model's parameters; the best one's name."""
+        space = SPACES[name] | {"windows": subsets.non_empty_subsets(self.c.windows), "aggs": subsets.non_empty_subsets(self.c.aggs)}
+
+        def run(params: dict, place: Path) -> tuple[float, float]:
+            own = {k: v for k, v in params.items() if k not in ("windows", "aggs")}
+            rows = self.matrix(params["windows"], params["aggs"])
+            if rows is None:
+                return 0.0, 0.0
+            model = models.SparkTabularModel(name, self.c.seed, **own)
+            model.train(rows.where("split = 'train'"), rows.where("split = 'tuning'"))
+            model.save(str(place / "model"))
+            return model.evaluate(rows.where("split = 'tuning'")), model.evaluate(rows.where("split = 'held_out'"))
+
+        folder = f"{self.c.output_dir}/sweep"
+        sweep.run_sweep(sweep.sample_trials(space, trials, self.c.seed), run, folder, threads)
+        return sweep.finish_sweep(self.spark, folder, keep)
+
+    def model(self, name: str = "logistic_regression", **params) -> float:
+        """Train on train, score tuning, write predictions of tuning and held_out; the tuning AUC, 0.0 without features."""
+        rows = self.matrix(self.c.windows, self.c.aggs)
+        if rows is None:
+            return 0.0
         model = models.SparkTabularModel(name, self.c.seed, **params)
         model.train(rows.where("split = 'train'"), rows.where("split = 'tuning'"))
         place = f"{self.models_path}/{sweep.trial_name({'model': name, 'seed': self.c.seed, **params})}"
@@ -116,19 +151,22 @@ class Stages:
 
 
 def main(args: list[str]) -> None:
-    if not args or args[0] not in ("describe", "tabularize", "cache-task", "model", "subsets"):
+    if not args or args[0] not in ("describe", "tabularize", "cache-task", "model", "sweep", "subsets"):
         sys.exit(__doc__)
     stage, rest = args[0], args[1:]
     if stage == "subsets":
         print(subsets.as_choices(subsets.non_empty_subsets(rest)))
         return
-    own = {k: v for k, _, v in (x.partition("=") for x in rest) if k == "model"}
-    config = TabConfig().with_overrides([x for x in rest if not x.startswith("model=")])
+    own = {k: v for k, _, v in (x.partition("=") for x in rest) if k in ("model", "trials", "keep")}
+    config = TabConfig().with_overrides([x for x in rest if x.partition("=")[0] not in own])
     spark = SparkSession.builder.appName(f"tallyloom-{stage}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     run = Stages(spark, config)
     Path(config.output_dir).mkdir(parents=True, exist_ok=True)
+    name = own.get("model", "logistic_regression")
     if stage == "model":
-        print(f"tuning AUC {run.model(**({'name': own['model']} if own else {})):.4f}")
+        print(f"tuning AUC {run.model(name):.4f}")
+    elif stage == "sweep":
+        print(f"best trial {run.sweep(name, int(own.get('trials', 10)), int(own.get('keep', 3)))}")
     else:
         getattr(run, stage.replace("-", "_"))()
 

@@ -96,6 +96,8 @@ def test_stages(spark, stored, tmp_path, by_label):
         run.cache_task()
         assert spark.read.parquet(run.labels_path).where("event_id < 0").count() == 0
         assert 0.0 <= run.model() <= 1.0
+        assert run.sweep(trials=3, keep=1) == next(p.name for p in (tmp_path / "out" / "sweep").iterdir() if p.is_dir() and len(p.name) == 16)
+        assert spark.read.parquet(str(tmp_path / "out" / "sweep" / "sweep_results_summary.parquet")).count() == 3
         place = next((tmp_path / "out" / "models").iterdir())
         for split in ("tuning", "held_out"):
             assert spark.read.parquet(str(place / f"{split}_predictions")).schema == PREDICTIONS
