@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that may surround a code: blanks, tabs and line ends.
@@ -41,8 +41,12 @@ def day_number(time: Column) -> Column:
 
 
 def micros(time: Column) -> Column:
-    """Microseconds since 1970-01-01 of a timestamp without time zone; the session's zone should be UTC."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), time.cast("timestamp_ntz"))
+    """Microseconds since 1970-01-01 of a timestamp without time zone, whatever the session's zone."""
+    local = time.cast("timestamp_ntz")
+    if SparkSession.active().conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT", "Z"):
+        # Here the number is there already; elsewhere it takes calendar arithmetic.
+        return F.unix_micros(local.cast("timestamp"))
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), local)
 
 
 def stretch_number(number: Column, length: int) -> Column:

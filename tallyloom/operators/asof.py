@@ -32,7 +32,7 @@ def _nearest(left: DataFrame, events: DataFrame, time: str, event_time: str, buc
     return near.join(carried, ["subject_id", "_b"], "left").select("subject_id", F.col("_t").alias(time), *kept, found.alias("event_time"))
 
 
-def latest_before(left: DataFrame, events: DataFrame, time: str = "time", event_time: str = "time", bucket: str = "month", strict: bool = False) -> DataFrame:
+def latest_before(left: DataFrame, events: DataFrame, time: str = "time", event_time: str = "time", bucket: str = "year", strict: bool = False) -> DataFrame:
     """``left`` with ``event_time``: the subject's latest event at or before ``time``, null if none.
 
     ``strict``: before it only. ``left`` has subject_id and ``time``, ``events`` subject_id and
@@ -41,12 +41,12 @@ def latest_before(left: DataFrame, events: DataFrame, time: str = "time", event_
     return _nearest(left, events, time, event_time, bucket, False, strict)
 
 
-def next_after(left: DataFrame, events: DataFrame, time: str = "time", event_time: str = "time", bucket: str = "month", strict: bool = True) -> DataFrame:
+def next_after(left: DataFrame, events: DataFrame, time: str = "time", event_time: str = "time", bucket: str = "year", strict: bool = True) -> DataFrame:
     """``left`` with ``event_time``: the subject's first event after ``time`` (or at it, unless ``strict``), null if none."""
     return _nearest(left, events, time, event_time, bucket, True, strict)
 
 
-def count_until(left: DataFrame, events: DataFrame, time: str, name: str, event_time: str = "time", bucket: str = "month", strict: bool = False) -> DataFrame:
+def count_until(left: DataFrame, events: DataFrame, time: str, name: str, event_time: str = "time", bucket: str = "year", strict: bool = False) -> DataFrame:
     """``left`` with ``name``: how many of the subject's events lie at or before ``time`` (before it only, if ``strict``).
 
     A null time counts nothing.

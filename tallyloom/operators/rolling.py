@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.values import micros, stretch_number
 from tallyloom.operators.asof import count_until
 from tallyloom.schema import ROLLING_AGGS, kind_of, parse_window
+from tallyloom.workspace import staged
 
 #: Column of each aggregation, the partial it is made from, and how partials merge.
 _PARTS = {
@@ -40,8 +41,8 @@ _PARTS = {
 _MERGES = {"n": F.sum, "nv": F.sum, "s": F.sum, "ss": F.sum, "lo": F.min, "hi": F.max}
 #: Index times are kept in blocks of so many rows of a subject.
 _BLOCK = 1024
-#: Points are sorted in chunks of time as long as the longest bounded window, but no shorter than 30 days.
-_LEAST_CHUNK = 30 * 86_400_000_000
+#: Points are sorted in chunks of time as long as the longest bounded window, but no shorter than a year.
+_LEAST_CHUNK = 365 * 86_400_000_000
 #: After every time there is.
 _END = "9999-12-31 00:00:00"
 
@@ -92,7 +93,7 @@ def _held(partials: DataFrame, index: DataFrame, sizes: dict[str, int | None], a
     # The number of index rows before a point is the number of the first row at or after it.
     points = count_until(points, index, "time", "_row", strict=True)
     us = micros(F.col("time"))
-    points = points.withColumn("_us", us).withColumn("_chunk", stretch_number(us, length)).withColumn("_own", F.lit(1))
+    points = staged(points.withColumn("_us", us).withColumn("_chunk", stretch_number(us, length)).withColumn("_own", F.lit(1)), "points")
 
     by_chunk = points.groupBy(*key, "_chunk").agg(F.min("_row").alias("_first"), *[_MERGES[p](p).alias(p) for p in parts])
     before = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -151,8 +152,9 @@ def rolling_features(
         check_rolling(a)
     if not aggs or not windows:
         raise ValueError("no window or aggregation asked for")
-    index = index.select("subject_id", "time").where("subject_id is not null and time is not null").distinct()
-    partials = collapse_same_time(events, scale) if partials is None else partials
+    # Both are read by several branches of the plan, so what they come from runs once.
+    index = staged(index.select("subject_id", "time").where("subject_id is not null and time is not null").distinct(), "index")
+    partials = staged(collapse_same_time(events, scale) if partials is None else partials, "partials")
     sizes = {w: parse_window(w) for w in windows}
     held = _held(partials, index, sizes, aggs)
     first, last = stretch_number(F.col("_row"), _BLOCK), stretch_number(F.col("_end") - 1, _BLOCK)
