@@ -92,7 +92,9 @@ class Stages:
         table = parts[0]
         for p in parts[1:]:
             table = table.unionByName(p)
-        write_features(table.join(splits, "subject_id"), self.features_path, overwrite=self.c.overwrite)
+        # The table itself says whose times it is keyed by, for the stages that read it.
+        time = F.col("time").alias("time", metadata={"rows": "labels" if self.c.label_dir else "events"})
+        write_features(table.join(splits, "subject_id").withColumn("time", time), self.features_path, overwrite=self.c.overwrite)
 
     def cache_task(self) -> None:
         """Labels aligned with index rows, and the cells of those rows."""
@@ -105,8 +107,11 @@ class Stages:
         self._write(aligned.join(splits, "subject_id"), self.labels_path, ["split"])
         cells = read_features(self.spark, self.features_path)
         if self.c.overwrite or not finished(self.spark, self.cache_path):
+            keyed_by = cells.schema["time"].metadata.get("rows")
+            if keyed_by is None:
+                raise ValueError(f"{self.features_path} doesn't say whether its rows are events or labels: tabularize again with overwrite=true")
             aligned = self.spark.read.parquet(self.labels_path)
-            write_features(task.gather_rows(aligned, cells.drop("split")).join(splits, "subject_id"), self.cache_path, overwrite=self.c.overwrite)
+            write_features(task.gather_rows(aligned, cells.drop("split"), keyed_by == "labels").join(splits, "subject_id"), self.cache_path, overwrite=self.c.overwrite)
 
     def matrix(self, windows: Sequence[str], aggs: Sequence[str]) -> DataFrame | None:
         """Labels with their vectors; None if no feature is left."""

@@ -60,13 +60,15 @@ def label_features(labels: DataFrame, events: DataFrame, windows: Sequence[str],
     return found.join(features, ["subject_id", "event_time"]).drop("event_time")
 
 
-def gather_rows(aligned: DataFrame, features: DataFrame) -> DataFrame:
+def gather_rows(aligned: DataFrame, features: DataFrame, by_label: bool = False) -> DataFrame:
     """The long feature table's cells of the index rows that labels are aligned with.
 
     ``aligned`` as from ``align_labels``; a label row whose event has no cells, or which has no
-    event (-1), has no rows here and is a row of zeros once vectors are made.
+    event (-1), has no rows here and is a row of zeros once vectors are made. ``by_label``: the
+    table's rows are those of labels, at the labels' own times, rather than of events.
     """
-    rows = aligned.select("subject_id", F.col("time").alias("_label"), F.col("event_time").alias("time")).where("time is not null")
+    at = "time" if by_label else "event_time"
+    rows = aligned.where("event_time is not null").select("subject_id", F.col("time").alias("_label"), F.col(at).alias("time"))
     return rows.join(features, ["subject_id", "time"]).drop("time").withColumnRenamed("_label", "time")
 
 

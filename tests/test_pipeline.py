@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 
 from tallyloom import cli
@@ -103,6 +104,39 @@ def test_stages(spark, stored, tmp_path, by_label):
             assert spark.read.parquet(str(place / f"{split}_predictions")).schema == PREDICTIONS
 
 
+@pytest.mark.parametrize("by_label", [False, True])
+def test_labels_between_events(spark, stored, tmp_path, by_label):
+    """Every label gets the cells of its latest event, whichever rows were tabularized."""
+    rows = tables.read_observations(spark, str(stored / "data")).where("time is not null").toPandas()
+    times = rows[["subject_id", "time"]].drop_duplicates().sort_values(["subject_id", "time"])
+    last = times.groupby("subject_id")["time"].transform("max")
+    # Two labels after each event, both before the next one, and one before all history.
+    parts = [times.assign(event=times["time"], prediction_time=times["time"] + dt.timedelta(minutes=m)) for m in (7, 31)]
+    parts.append(times[times["time"] == last].assign(event=pd.NaT, prediction_time=dt.datetime(1950, 1, 1)))
+    labels = pd.concat(parts)
+    assert labels.merge(times, left_on=["subject_id", "prediction_time"], right_on=["subject_id", "time"]).empty
+    labels = labels.assign(boolean_value=[i % 3 == 0 for i in range(len(labels))], prediction_time=labels["prediction_time"].astype("datetime64[us]"))
+    (tmp_path / "labels").mkdir()
+    labels[["subject_id", "prediction_time", "boolean_value"]].to_parquet(tmp_path / "labels" / "0.parquet", index=False)
+    options = [f"input_dir={stored}/data", f"output_dir={tmp_path}/out", "windows=[7d,full]", "aggs=[code/count,static/first]", "min_code_count=1"]
+    run = cli.Stages(spark, TabConfig().with_overrides([*options, f"label_dir={tmp_path}/labels"]))
+    run.describe()
+    (run if by_label else cli.Stages(spark, TabConfig().with_overrides(options))).tabularize()
+    run.cache_task()
+    got = {(r.subject_id, r.time, r.window, r.agg, r.code): r.value for r in sinks.read_features(spark, run.cache_path).collect()}
+    want = {}
+    heights = {r.subject_id: r.numeric_value for r in tables.read_observations(spark, str(stored / "data")).where("code = 'HEIGHT'").collect()}
+    for s, event, at in labels.dropna(subset=["event"])[["subject_id", "event", "prediction_time"]].itertuples(index=False):
+        own = rows[(rows["subject_id"] == s) & (rows["time"] <= event)]
+        for window, since in (("7d", event - dt.timedelta(days=7)), ("full", dt.datetime.min)):
+            for code, n in own[own["time"] > since].groupby("code").size().items():
+                want[s, at.to_pydatetime(), window, "code/count", code] = float(n)
+        want[s, at.to_pydatetime(), "none", "static/first", "HEIGHT"] = heights[s]
+    assert got == want
+    vectors = run.matrix(["7d", "full"], ["code/count", "static/first"]).select("time", "features").collect()
+    assert len(vectors) == len(labels) and all((r.features.numNonzeros() == 0) == (r.time.year == 1950) for r in vectors)
+
+
 def test_no_features_left(spark, stored, tmp_path):
     config = TabConfig().with_overrides([f"input_dir={stored}/data", f"output_dir={tmp_path}/out", f"label_dir={stored}/labels", "min_code_count=100000000"])
     run = cli.Stages(spark, config)
