@@ -135,6 +135,8 @@ _EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9_](?:[A-Za-z0-9._%+\-]{{0
 #: Accounts of programs rather than persons, at the start of an address.
 _SERVICE = re.compile(r"(?i)(?:git|svn|hg|svc|ssh|www|root|no-?reply|do-?not-?reply|postmaster|mailer-daemon)@")
 _PACKAGE = re.compile(r"@\d+(?:\.\d+)*(?:[\-.][0-9A-Za-z]+)*$|@\dx\.|\.(?:png|jpe?g|gif|svg|webp|ico)$")
+#: A URL up to its user or password, which what follows ends; a user may be written as a placeholder, and a password have an at.
+_USERINFO = re.compile(r"""://(?:\$?\{[\w.\-]+\}|\$\([\w.\-]+\)|<[\w.\-]+>)?(?:[^\s"'`,;()\[\]{}<>/?\#|\\@]|@(?=[^.]*$))*$""")
 _MESSAGE_ID = re.compile(r"(?i)(?:\b(?:message|msg)[ \-_]?id:?|\bin-reply-to:|\breferences:)\s*<?$")
 
 #: Where a long number lies; what it is, is asked at its start and the starts of its groups only.
@@ -268,7 +270,7 @@ def detect(text: str, names: NameList) -> list[tuple[int, int, str]]:
             spared = (
                 _SERVICE.match(piece)
                 or _PACKAGE.search(piece)
-                or "://" in before.rpartition(" ")[2]
+                or _USERINFO.search(before)
                 or _MESSAGE_ID.search(before)
                 or (text[end : end + 1] == ":" and text[end + 1 : end + 2].isalnum() and not before.lower().endswith("mailto:"))
                 or (before.endswith("/") or before.endswith(":") and not re.search(r"(?i)(?:mailto|[a-z]\w*) ?:$", before))

@@ -62,6 +62,24 @@ def test_pieces(text, pieces):
     assert kinds(text) == pieces
 
 
+@pytest.mark.parametrize(
+    ("text", "pieces"),
+    [
+        ('{"url":"https://forge.example","mail":"ann.lee@lab.example.net"}', [("email", "ann.lee@lab.example.net")]),
+        ("https://forge.example,ann.lee@lab.example.net,5", [("email", "ann.lee@lab.example.net")]),
+        ("u='https://forge.example/a';m='ann.lee@lab.example.net'", [("email", "ann.lee@lab.example.net")]),
+        ("[forge](https://forge.example)(ann.lee@lab.example.net)", [("email", "ann.lee@lab.example.net")]),
+        ("https://forge.example/new?mail=ann.lee@lab.example.net", [("email", "ann.lee@lab.example.net")]),
+        ("https://git@forge.example;ann.lee@lab.example.net", [("email", "ann.lee@lab.example.net")]),
+        ('{"dsn":"db://svc:5081ab@db.example/x","by":"ann.lee@lab.example.net"}', [("email", "ann.lee@lab.example.net")]),
+        ("https://ann.lee@forge.example/columns, db://ann:5081ab@db.example/batch", []),
+        ("db://${USER}:5081ab@db.example, db://<user>:5081ab@db.example, db://ann:p@5081ab@db.example/x", []),
+    ],
+)
+def test_addresses_after_a_url(text, pieces):
+    assert kinds(text) == pieces
+
+
 def test_redaction_keeps_the_rest():
     text = "﻿a é // Author: Ann Lee <ann.lee (at) example dot org>\r\nx = 1"
     assert P.redact(text, P.find_personal(text, NAMES)) == "﻿a é // Author: [NAME] <[EMAIL]>\r\nx = 1"
