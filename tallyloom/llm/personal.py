@@ -32,17 +32,22 @@ _DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "f
 _DIGIT = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 _SPELLED = re.compile(rf"\b{_DIGIT}(?:[ \-.,]{{1,2}}{_DIGIT}){{5,}}\b", re.I)
 
-_AT = r"(?:\s?[\(\[{<]\s?(?:at|@)\s?[\)\]}>]\s?|\s(?:AT|at)\s|\s?%40\s?|\s?&#(?:64|x40);\s?|\s@\s)"
-_DOT = r"(?:\s?[\(\[{<]\s?(?:dot|\.)\s?[\)\]}>]\s?|\s(?:DOT|dot)\s)"
+#: Ways to write an at: signs with or without blanks around them, and what needs its blanks.
+_AT_SIGNS, _AT_ALONE, _AT_BARE = (r"[\(\[{<]\s?(?i:at|@)\s?[\)\]}>]", "%40", "&#(?:64|x40);"), r"\s@\s", r"\s(?:AT|at)\s"
+_AT_MARKED = rf"(?:\s?(?:{'|'.join(_AT_SIGNS)})\s?|{_AT_ALONE})"
+_AT = rf"(?:{_AT_MARKED}|{_AT_BARE})"
+_DOT = r"(?:\s?[\(\[{<]\s?(?i:dot|\.)\s?[\)\]}>]\s?|\s(?:DOT|dot)\s)"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?"
 #: local AT domain: with a plain at between blanks, the dots must be spelled too, or it is a sentence.
 _DISGUISED = re.compile(
     rf"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9](?:[A-Za-z0-9_+\-]|\.(?=[A-Za-z0-9])|{_DOT}(?=[A-Za-z0-9])){{0,63}}?{_AT}{_LABEL}(?:(?:\.|{_DOT}){_LABEL})+",
 )
 _AT_ONE, _DOT_ONE = re.compile(_AT), re.compile(_DOT)
-_HINT = re.compile(r"[\(\[{<]\s?(?:at|AT|@)\s?[\)\]}>]|\s(?:at|AT)\s[^\n]{1,60}?\s?(?:dot|DOT)\b|%40|&#(?:64|x40);|[A-Za-z0-9]\s@\s[A-Za-z0-9]")
-#: One of these is in every disguised address, and in every spelled number that isn't ones and ohs alone.
-_HINTS = ("%40", "&#", " at ", "at)", "at]", "at}", "at>", "at )", "at ]", " @ ", "(@", "[@", "{@", "( @", "[ @")
+#: Each way alone, which is quick to look for; most texts have none of them.
+_ATS = [re.compile(p) for p in (*_AT_SIGNS, _AT_ALONE, _AT_BARE)]
+#: What every disguised address has from its at on: the same parts, but for the local part, which is slow to look for.
+_HINT = re.compile(rf"(?<=[A-Za-z0-9_+\-])(?:{_AT_MARKED}{_LABEL}(?:\.|{_DOT}){_LABEL}|{_AT_BARE}{_LABEL}(?:\.{_LABEL})*{_DOT}{_LABEL})")
+#: In every spelled number that isn't ones and ohs alone.
 _RARE_DIGITS = ("zero", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 
 
@@ -120,9 +125,9 @@ def normalise(source: str) -> Normalised:
     if not n.text.isascii():
         n.rewrite(_INVISIBLE, lambda m: "")
     low = n.text.lower()
-    # Substring tests are many times faster than patterns, and most texts pass none of them.
-    if any(h in low for h in _HINTS) and _HINT.search(n.text):
+    if any(p.search(n.text) for p in _ATS) and _HINT.search(n.text):
         n.rewrite(_DISGUISED, _plain_address)
+    # Substring tests are many times faster than patterns, and most texts pass none of them.
     if any(w in low for w in _RARE_DIGITS):
         n.rewrite(_SPELLED, _plain_digits)
     return n

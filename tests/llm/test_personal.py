@@ -80,6 +80,23 @@ def test_addresses_after_a_url(text, pieces):
     assert kinds(text) == pieces
 
 
+@pytest.mark.parametrize(
+    "address",
+    [
+        "ann.lee[AT]lab.example.net", "ann (AT) example (DOT) org", "ann(At)example[Dot]org", "ann<@>example.org", "ann { @ } example.org", "ann{at }example.org", "ann< at >example.org",
+        "ann\tat\texample\tdot\torg", "ann\nat\nexample\ndot\norg", "ann\t@\texample.org", "ann at example[.]org", "ann at lab.example (dot) org", f"ann at {'x' * 61}-1 dot org",
+        "ann\n(at)\nexample.org",
+    ],
+)
+def test_disguised_addresses(address):
+    assert kinds(f"# mail {address}, or not") == [("email", address)]
+
+
+@pytest.mark.parametrize("text", ["look AT (DOT) or at [AT] here", "we met at\nforge.example", "int[@]x = {at}", "f(AT) = g(DOT)"])
+def test_no_disguise(text):
+    assert kinds(text) == []
+
+
 def test_redaction_keeps_the_rest():
     text = "﻿a é // Author: Ann Lee <ann.lee (at) example dot org>\r\nx = 1"
     assert P.redact(text, P.find_personal(text, NAMES)) == "﻿a é // Author: [NAME] <[EMAIL]>\r\nx = 1"
