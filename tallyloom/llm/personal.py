@@ -231,7 +231,7 @@ _ADDRESS_TAIL = re.compile(r"[ \t]*<[^<>\n]{0,80}@|[ \t]*<mailto:|[ \t]*\([^()\n
 _NO_PERSON = re.compile(
     r"(?i)\b(?:ltd|inc|gmbh|llc|plc|corp|corporation|company|co|labs?|works|systems|foundation|contributors|authors|project|team|group|software|technologies|university|institute|society|community|limited|partners|studio|solutions|consortium|the|and|all|rights|reserved)\b"
 )
-#: Listed names that are also plain words prove nothing without a context.
+#: Listed names that are also plain words: two of them prove nothing without a context.
 _PLAIN_WORDS = frozenset(
     "will mark chase faith rose dawn grace page stone field case banks marsh copper feather falcon orchard basil nutmeg mitten string kestrel goblet otter cook way max".split()
 )
@@ -242,13 +242,13 @@ class NameList:
 
     def __init__(self, rows: list[tuple[str, str]]) -> None:
         clean = [(n.strip().lower(), k) for n, k in rows if n and n.strip()]
-        self.given = {n for n, k in clean if k == "given"} - _PLAIN_WORDS
-        self.family = {n for n, k in clean if k == "family"} - _PLAIN_WORDS
+        self.given = {n for n, k in clean if k == "given"}
+        self.family = {n for n, k in clean if k == "family"}
 
     def both(self, name: str) -> bool:
         words = re.findall(r"[\w'’\-]+", name.lower())
         first, last = (words[-1], words[0]) if "," in name else (words[0], words[-1])
-        return first in self.given and last in self.family
+        return first in self.given and last in self.family and not (first in _PLAIN_WORDS and last in _PLAIN_WORDS)
 
 
 def _line_before(text: str, at: int, most: int = 60) -> str:

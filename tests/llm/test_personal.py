@@ -97,6 +97,15 @@ def test_no_disguise(text):
     assert kinds(text) == []
 
 
+def test_plain_words_beside_a_listed_name():
+    names = P.NameList([(n, "given") for n in ("Mark", "Faith", "Copper", "Brielle")] + [(n, "family") for n in ("Inverleck", "Jablonek", "Orchard", "String")])
+    for text, found in {
+        "we asked Mark Inverleck once": ["Mark Inverleck"], "we asked Faith Jablonek once": ["Faith Jablonek"], "we asked Brielle Orchard once": ["Brielle Orchard"],
+        "the Mark String and Copper Orchard themes": [], "thanks to Mark String for it": ["Mark String"], "we asked Mark Ferncastle once": [],
+    }.items():
+        assert [text[s:e] for s, e, _ in P.find_personal(text, names)] == found
+
+
 def test_redaction_keeps_the_rest():
     text = "﻿a é // Author: Ann Lee <ann.lee (at) example dot org>\r\nx = 1"
     assert P.redact(text, P.find_personal(text, NAMES)) == "﻿a é // Author: [NAME] <[EMAIL]>\r\nx = 1"
