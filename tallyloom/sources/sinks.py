@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def finished(spark: SparkSession, path: str) -> bool:
@@ -40,7 +41,10 @@ def write_features(features: DataFrame, path: str, overwrite: bool = False, skip
 
 def read_features(spark: SparkSession, path: str, windows: Sequence[str] | None = None, aggs: Sequence[str] | None = None) -> DataFrame:
     """The stored feature table; windows and aggregations prune the folders that are read."""
-    df = spark.read.parquet(path)
+    # Folder names such as 7d would be read as numbers: they are strings, whatever they look like.
+    found = spark.read.parquet(path).schema
+    named = [T.StructField(f.name, T.StringType()) if f.name in ("split", "window", "agg") else f for f in found]
+    df = spark.read.schema(T.StructType(named)).parquet(path)
     if windows is not None:
         df = df.where(F.col("window").isin([*windows, "none"]))
     if aggs is not None:

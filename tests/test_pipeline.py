@@ -5,6 +5,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom import cli
 from tallyloom.operators import describe, encode, features
@@ -74,6 +75,17 @@ def test_sinks(spark, tmp_path):
     assert sorted((r.window, r.agg, r.value) for r in back.collect()) == [("7d", "code/count", 2.0), ("none", "static/present", 1.0)]
 
 
+def test_windows_that_look_like_numbers(spark, tmp_path):
+    rows = [(1, T, w, "code/count", "A", float(i + 1), s) for i, w in enumerate(["7d", "30d"]) for s in ("1", "02")]
+    kept = F.col("time").alias("time", metadata={"rows": "events"})
+    cells = spark.createDataFrame(rows, "subject_id long, time timestamp_ntz, window string, agg string, code string, value double, split string").withColumn("time", kept)
+    sinks.write_features(cells, str(tmp_path / "f"))
+    back = sinks.read_features(spark, str(tmp_path / "f"))
+    assert {(r.window, r.agg, r.split, r.time, r.value) for r in back.collect()} == {(w, a, s, t, v) for _, t, w, a, _, v, s in rows}
+    assert back.schema["time"].metadata == {"rows": "events"}
+    assert {r.window for r in sinks.read_features(spark, str(tmp_path / "f"), ["30d"], ["code/count"]).collect()} == {"30d"}
+
+
 @pytest.mark.parametrize("by_label", [False, True])
 def test_stages(spark, stored, tmp_path, by_label):
     options = [f"input_dir={stored}/data", f"output_dir={tmp_path}/out", f"label_dir={stored}/labels", "windows=[30d,full]", "min_code_count=1"]
