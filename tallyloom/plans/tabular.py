@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -132,9 +133,9 @@ def rolling_shipments(spark: SparkSession, folder: str) -> DataFrame:
     return rolling.rolling_features(features.event_index(events), events, ["30d", "full"], scale=2)
 
 
-def rolling_measurements(spark: SparkSession, folder: str) -> DataFrame:
+def rolling_measurements(spark: SparkSession, folder: str, windows: Sequence[str] = ("1d",)) -> DataFrame:
     events = _measured(spark, folder).where("time is not null")
-    return rolling.rolling_features(features.event_index(events), events, ["1d"], scale=1)
+    return rolling.rolling_features(features.event_index(events), events, windows, scale=1)
 
 
 def _bounds(spark: SparkSession, folder: str, window: str) -> DataFrame:
@@ -285,6 +286,9 @@ QUERIES = {
     "rolling_all_by_spine": rolling_all_by_spine,
     "rolling_shipments": rolling_shipments,
     "rolling_measurements": rolling_measurements,
+    # Without SQL, whose join of rows and events is quadratic in a subject's rows; tests have it on little data.
+    "rolling_measurements_full": partial(rolling_measurements, windows=("full",)),
+    "rolling_measurements_all": partial(rolling_measurements, windows=WINDOWS),
     "rolling_window_bounds_7d": partial(_bounds, window="7d"),
     "rolling_window_bounds_full": partial(_bounds, window="full"),
     "long_feature_table": long_feature_table,

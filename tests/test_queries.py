@@ -3,7 +3,7 @@
 import pytest
 from oracle import FOLDER, check
 
-from tallyloom.plans import longitudinal, tabular
+from tallyloom.plans import longitudinal, tabular, tabular_sql
 
 QUERIES = tabular.QUERIES | longitudinal.QUERIES
 SQL = tabular.SQL | longitudinal.SQL
@@ -19,6 +19,11 @@ def test_has_rows(spark, name):
     assert QUERIES[name](spark, FOLDER).limit(1).count() == 1
 
 
+@pytest.mark.parametrize(("name", "windows"), [("rolling_measurements_full", ["full"]), ("rolling_measurements_all", tabular.WINDOWS)])
+def test_windows_over_measurements(spark, name, windows):
+    check(spark, QUERIES[name], tabular_sql._each(windows, base=tabular_sql._MEASURED))
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
