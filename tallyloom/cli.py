@@ -15,7 +15,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import assemble, describe, features, models, rolling, static, subsets, sweep, task
+from tallyloom.operators import assemble, describe, features, models, prep, rolling, selection, static, subsets, sweep, task
 from tallyloom.schema import ROLLING_AGGS, STATIC_AGGS, TabConfig
 from tallyloom.sources.sinks import finished, read_features, write_features, write_table
 from tallyloom.sources.tables import read_labels, read_observations
@@ -114,14 +114,47 @@ class Stages:
             write_features(task.gather_rows(aligned, cells.drop("split"), keyed_by == "labels").join(splits, "subject_id"), self.cache_path, overwrite=self.c.overwrite)
 
     def matrix(self, windows: Sequence[str], aggs: Sequence[str]) -> DataFrame | None:
-        """Labels with their vectors; None if no feature is left."""
+        """Labels with their vectors; None if no feature is left.
+
+        Selection by correlation, imputing and scaling, in this order, are fitted on train alone.
+        """
         try:
             names = features.selected_names(self.selected())
         except ValueError:
             return None
         columns = assemble.column_table(names, windows, aggs)
         labels = task.binarized(self.spark.read.parquet(self.labels_path))
-        return assemble.sparse_vectors(labels, read_features(self.spark, self.cache_path, windows, aggs).drop("split"), columns)
+        cells = read_features(self.spark, self.cache_path, windows, aggs)
+        train = labels.where("split = 'train'")
+        if self.c.min_correlation is not None or self.c.max_by_correlation is not None:
+            found = selection.label_correlation(train, cells.where("split = 'train'").drop("split"))
+            if self.c.min_correlation is not None:
+                found = found.join(selection.select_min_correlation(found, self.c.min_correlation), "code", "left_semi")
+            if self.c.max_by_correlation is not None:
+                found = found.join(selection.select_max_by_correlation(found, self.c.max_by_correlation), "code", "left_semi")
+            kept = {r[0] for r in found.select("code").distinct().collect()}
+            columns = [(i, *c[1:]) for i, c in enumerate(c for c in columns if c[3] in kept)]
+            cells = cells.where(F.col("code").isin(list(kept)))
+        if not columns:
+            return None
+        of_train = cells.where("split = 'train'").drop("split")
+        cells = cells.drop("split")
+        if self.c.imputer:
+            cells, of_train = prep.impute(labels, cells, self.c.imputer, fit_on=of_train), prep.impute(train, of_train, self.c.imputer)
+        if self.c.scaler == "standard":
+            cells = prep.standard_scale(cells, train.count(), of_train)
+        elif self.c.scaler == "max_abs":
+            cells = prep.max_abs_scale(cells, of_train)
+        return assemble.sparse_vectors(labels, cells, columns)
+
+    def _prepared(self) -> dict:
+        """What of selection, imputing and scaling is asked for."""
+        return {k: v for k in ("min_correlation", "max_by_correlation", "imputer", "scaler") if (v := getattr(self.c, k)) is not None}
+
+    @staticmethod
+    def _write_predictions(model: models.SparkTabularModel, rows: DataFrame, place: Path | str) -> None:
+        for split in ("tuning", "held_out"):
+            write_table(models.predictions(model.scores(rows.where(F.col("split") == split))), f"{place}/{split}_predictions", overwrite=True)
 
     def sweep(self, name: str = "logistic_regression", trials: int = 10, keep: int = 3, threads: int = 2) -> str | None:
         """Seeded trials over subsets of windows and aggregations and the model's parameters; the best one's name."""
@@ -135,6 +168,7 @@ class Stages:
             model = models.SparkTabularModel(name, self.c.seed, **own)
             model.train(rows.where("split = 'train'"), rows.where("split = 'tuning'"))
             model.save(str(place / "model"))
+            self._write_predictions(model, rows, place)
             return model.evaluate(rows.where("split = 'tuning'")), model.evaluate(rows.where("split = 'held_out'"))
 
         folder = f"{self.c.output_dir}/sweep"
@@ -148,10 +182,9 @@ class Stages:
             return 0.0
         model = models.SparkTabularModel(name, self.c.seed, **params)
         model.train(rows.where("split = 'train'"), rows.where("split = 'tuning'"))
-        place = f"{self.models_path}/{sweep.trial_name({'model': name, 'seed': self.c.seed, **params})}"
+        place = f"{self.models_path}/{sweep.trial_name({'model': name, 'seed': self.c.seed, **self._prepared(), **params})}"
         model.save(f"{place}/model")
-        for split in ("tuning", "held_out"):
-            write_table(models.predictions(model.scores(rows.where(F.col("split") == split))), f"{place}/{split}_predictions", overwrite=True)
+        self._write_predictions(model, rows, place)
         return model.evaluate(rows.where("split = 'tuning'"))
 
 

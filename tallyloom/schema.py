@@ -83,6 +83,10 @@ class TabConfig:
     max_codes: int | None = None
     allowed_codes: tuple[str, ...] | None = None
     describe_splits: tuple[str, ...] | None = None
+    min_correlation: float | None = None
+    max_by_correlation: int | None = None
+    imputer: str | None = None
+    scaler: str | None = None
     overwrite: bool = False
     seed: int = 1
 
@@ -97,9 +101,9 @@ class TabConfig:
                 values[name] = None
             elif text.startswith("["):
                 values[name] = tuple(x.strip().strip("'\"") for x in text[1:-1].split(",") if x.strip())
-            elif name in ("min_code_count", "max_codes", "seed"):
+            elif name in ("min_code_count", "max_codes", "max_by_correlation", "seed"):
                 values[name] = int(text)
-            elif name == "min_code_frequency":
+            elif name in ("min_code_frequency", "min_correlation"):
                 values[name] = float(text)
             elif name == "overwrite":
                 values[name] = text.lower() == "true"
@@ -108,6 +112,8 @@ class TabConfig:
             else:
                 values[name] = text
         config = TabConfig(**values)
+        if config.imputer not in (None, "mean", "median", "mode") or config.scaler not in (None, "standard", "max_abs"):
+            raise ValueError("imputer is mean, median or mode, scaler is standard or max_abs")
         for a in config.aggs or ():
             kind_of(a)
         for w in config.windows or ():

@@ -149,6 +149,33 @@ def test_labels_between_events(spark, stored, tmp_path, by_label):
     assert len(vectors) == len(labels) and all((r.features.numNonzeros() == 0) == (r.time.year == 1950) for r in vectors)
 
 
+def test_prepared_matrix(spark, stored, tmp_path):
+    """Selection, imputing and scaling are fitted on train, the latter two in this order."""
+    options = [f"input_dir={stored}/data", f"output_dir={tmp_path}/out", f"label_dir={stored}/labels", "windows=[7d,full]", "aggs=[code/count,value/max]", "min_code_count=1"]
+    run = cli.Stages(spark, TabConfig().with_overrides(options))
+    run.describe(), run.tabularize(), run.cache_task()
+
+    def vectors(*more):
+        rows = cli.Stages(spark, TabConfig().with_overrides([*options, *more])).matrix(["7d", "full"], ["code/count", "value/max"])
+        return None if rows is None else {(r.subject_id, r.time): (r.split, r.features.toArray()) for r in rows.collect()}
+
+    plain, chosen = vectors(), vectors("max_by_correlation=1")
+    assert len(next(iter(chosen.values()))[1]) < len(next(iter(plain.values()))[1]) and vectors("min_correlation=1.0") is None
+    x = pd.DataFrame({k: v for k, (_, v) in plain.items()}).T
+    is_train = [plain[k][0] == "train" for k in plain]
+    filled = x.where(x != 0)
+    filled = filled.fillna(filled[is_train].mean()).fillna(0.0)
+    spread = filled[is_train].std(ddof=0).where(lambda d: d > 1e-9, 1.0)
+    got = vectors("imputer=mean", "scaler=standard")
+    assert all(v == pytest.approx((filled.loc[k] / spread).to_numpy(), rel=1e-6) for k, (_, v) in got.items())
+    assert max(abs(v).max() for s, v in vectors("scaler=max_abs").values() if s == "train") == pytest.approx(1.0)
+    assert run.sweep(trials=1, keep=1)
+    for split in ("tuning", "held_out"):
+        assert spark.read.parquet(str(tmp_path / "out" / "sweep" / "best_trial" / f"{split}_predictions")).schema == PREDICTIONS
+    with pytest.raises(ValueError):
+        TabConfig().with_overrides(["scaler=none"])
+
+
 def test_no_features_left(spark, stored, tmp_path):
     config = TabConfig().with_overrides([f"input_dir={stored}/data", f"output_dir={tmp_path}/out", f"label_dir={stored}/labels", "min_code_count=100000000"])
     run = cli.Stages(spark, config)
