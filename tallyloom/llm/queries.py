@@ -70,7 +70,7 @@ def p8_leaked_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return personal.personal_lines(personal.personal_data(table(spark, folder, "documents"), table(spark, folder, "name_list")))
+    return personal.personal_lines(personal.personal_data(table(spark, folder, "documents"), table(spark, folder, "name_list"), with_text=False))
 
 
 def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
