@@ -65,6 +65,12 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select("doc_id", "item_id").distinct()
 
 
+def p8_leaked_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each document and item the words that lie in shared passages, and in how many stretches."""
+    spans = leaks.leaked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return spans.groupBy("doc_id", "item_id").agg(F.sum("n_words").alias("n_words"), F.count("*").alias("n_spans"))
+
+
 def p8_leaked_spans(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -97,9 +103,9 @@ p AS (SELECT doc_id, n, CAST(ceil(n / 2048.0) AS INTEGER) AS n_pieces FROM t WHE
 """
 _LEAKS = """WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
 bw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark WHERE text IS NOT NULL),
-ds AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS s FROM dw WHERE len(w) >= 12),
+ds AS (SELECT doc_id, unnest(range(1, len(w) - 10)) AS i, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS s FROM dw WHERE len(w) >= 12),
 bs AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS s FROM bw WHERE len(w) >= 12)
-SELECT DISTINCT doc_id, item_id FROM ds JOIN bs USING (s)"""
+"""
 
 SQL = {
     "p4_found": """WITH c AS (SELECT l.label_id, m.obs_id, m.time, abs(epoch_us(m.time) - epoch_us(l.prediction_time)) AS d
@@ -117,7 +123,11 @@ SELECT DISTINCT subject_id FROM p JOIN b USING (person)""",
     "p7_found": _PIECES + "SELECT doc_id FROM p WHERE n > 2048",
     "p7_pieces": _PIECES + """, q AS (SELECT *, unnest(range(n_pieces)) AS piece FROM p)
 SELECT doc_id, CAST(piece AS INTEGER) AS piece, n_pieces, CAST(piece * 2048 AS BIGINT) AS start_token, CAST(least(2048, n - piece * 2048) AS BIGINT) AS n_tokens FROM q""",
-    "p8_found": _LEAKS,
+    "p8_found": _LEAKS + "SELECT DISTINCT doc_id, item_id FROM ds JOIN bs USING (s)",
+    "p8_leaked_words": _LEAKS
+    + """, c AS (SELECT DISTINCT doc_id, item_id, unnest(range(i, i + 12)) AS w FROM ds JOIN bs USING (s)),
+g AS (SELECT *, w - row_number() OVER (PARTITION BY doc_id, item_id ORDER BY w) AS island FROM c)
+SELECT doc_id, item_id, count(*) AS n_words, count(DISTINCT island) AS n_spans FROM g GROUP BY 1, 2""",
 }
 
 QUERIES = {
@@ -131,6 +141,7 @@ QUERIES = {
     "p7_containers": p7_containers,
     "p7_pieces": p7_pieces,
     "p8_found": p8_found,
+    "p8_leaked_words": p8_leaked_words,
     "p8_leaked_spans": p8_leaked_spans,
     "p9_found": p9_found,
     "p9_redacted": p9_redacted,

@@ -30,15 +30,54 @@ def make(rng):
     return docs + [(500, None), (501, ""), (502, docs[0][1]), (503, "x " * 200_000 + items[2][1])], items
 
 
+def brute_spans(docs, items, size=12):
+    """(doc, item) and the runs of words of the document that lie in passages of the item."""
+    out = []
+    for d, t in docs:
+        found = [(m.start(), m.end(), m[0].lower()) for m in leaks.re.finditer(leaks.ASCII_WORDS, t or "")]
+        w = [x for *_, x in found]
+        for k, x in items:
+            v = leaks.words_of(x or "")
+            have = {tuple(v[i : i + size]) for i in range(len(v) - size + 1)}
+            covered = sorted({j for i in range(len(w) - size + 1) if tuple(w[i : i + size]) in have for j in range(i, i + size)})
+            for n, j in enumerate(covered):
+                if n == 0 or covered[n - 1] != j - 1:
+                    first = j
+                if n == len(covered) - 1 or covered[n + 1] != j + 1:
+                    out.append((d, k, j - first + 1, found[first][0], found[j][1]))
+    return sorted(out)
+
+
 def test_against_brute_force(spark, monkeypatch):
     docs, items = make(random.Random(6))
     d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as start")
     t = spark.createDataFrame(items, "item_id long, text string")
-    want = brute(docs, items)
-    assert len(want) > 5
-    assert {(r.doc_id, r.item_id) for r in leaks.leaked(d, t).collect()} == want
-    monkeypatch.setattr(leaks, "BLOCK", 100)
-    assert {(r.doc_id, r.item_id) for r in leaks.leaked(d, t).collect()} == want
+    want = brute_spans(docs, items)
+    assert {(d, k) for d, k, *_ in want} == brute(docs, items) and len(want) > 5
+    assert sorted(tuple(r) for r in leaks.leaked(d, t).collect()) == want
+    monkeypatch.setattr(leaks, "BLOCK", 150)
+    assert sorted(tuple(r) for r in leaks.leaked(d, t).collect()) == want
+
+
+def test_one_row_for_each_copy_at_any_block(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = [(1, f"{passage} " + "x " * 500 + passage), (1, f"{passage} once"), (1, f"{passage} once"), (2, " ".join(f"p{i}" for i in range(5, 25)))]
+    items = [(7, passage), (8, " ".join(f"p{i}" for i in range(12, 30)))]
+    # Two texts under one id: equal ones once, the other for itself.
+    want = sorted(brute_spans(docs[:1], items) + brute_spans(docs[1:2], items) + brute_spans(docs[3:], items))
+    assert (1, 7, 30, 0, len(passage)) in want and len([w for w in want if w[1] == 7]) == 4
+    for block in (200_000, 10):
+        monkeypatch.setattr(leaks, "BLOCK", block)
+        got = leaks.leaked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_words_of_all_scripts(spark):
+    text = "один два три четыре пять шесть семь восемь девять десять одиннадцать двенадцать"
+    d = spark.createDataFrame([(1, f"«{text}»")], "doc_id long, text string")
+    t = spark.createDataFrame([(7, text.upper())], "item_id long, text string")
+    assert leaks.leaked(d, t).count() == 0
+    assert tuple(leaks.leaked(d, t, word=leaks.ALL_WORDS).first()) == (1, 7, 12, 1, 1 + len(text))
 
 
 def test_spans_lie_in_the_original(spark):
