@@ -83,56 +83,73 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+#: What is packed: a piece of a text; ``copy``, a hash of the text, tells several texts under one id apart.
+_ITEM = ["doc_id", "copy", "piece"]
+
+
 def _pack_round(items: DataFrame, capacity: int, per_task: int, label: str) -> DataFrame:
     """One round: items spread by hash into groups of about ``per_task``, each packed on its own."""
     groups = max(1, -(-items.count() // per_task))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(_ITEM, kind="stable", ignore_index=True)
         numbers = best_fit_decreasing(pdf["n_tokens"].to_numpy(), capacity)
         pdf["container"] = [f"{label}-{g}-{n}" for g, n in zip(pdf["group"], numbers, strict=True)]
         pdf["filled"] = pd.Series(pdf["n_tokens"].to_numpy()).groupby(numbers).transform("sum").to_numpy()
-        return pdf[["doc_id", "piece", "start_token", "n_tokens", "container", "filled"]]
+        return pdf[[*_ITEM, "start_token", "n_tokens", "container", "filled"]]
 
-    schema = "doc_id long, piece int, start_token long, n_tokens long, container string, filled long"
-    return items.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups))).groupBy("group").applyInPandas(pack, schema)
+    schema = "doc_id long, copy long, piece int, start_token long, n_tokens long, container string, filled long"
+    return items.withColumn("group", F.pmod(F.xxhash64(*_ITEM), F.lit(groups))).groupBy("group").applyInPandas(pack, schema)
 
 
 def pack_texts(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, per_task: int = 50_000, full: float = 0.98
 ) -> DataFrame:
-    """Containers of at most ``capacity`` tokens: doc_id, piece, n_pieces, start_token, n_tokens, container.
+    """Containers of at most ``capacity`` tokens: doc_id, copy, piece, n_pieces, start_token, n_tokens, container.
 
     Each text stays whole unless it has more than ``capacity`` tokens; such a text is cut into
     full pieces and a rest. Null texts and texts without tokens take no space and get no row.
-    Repeated rows are items of their own only if their ids differ. Other columns are dropped.
+    Rows that agree in id and text are one item; several texts under one id are all packed, each
+    with a ``copy`` of its own (a hash of the text). Rows without an id get no row, and other
+    columns are dropped.
 
     Only ids and sizes are shuffled, never texts. Groups of about ``per_task`` items, chosen by
     hash, are packed each in a task; containers less than ``full`` filled are opened again and
     their items packed once more together with those of other groups, so that at any size the
     unfilled containers are few.
     """
-    sizes = df.select(F.col(doc_id).cast("long").alias("doc_id"), token_count(F.col(text)).alias("tokens")).where("tokens > 0 and doc_id is not null").dropDuplicates(["doc_id"])
+    texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("copy"), token_count(F.col(text)).alias("tokens"))
+    sizes = texts.where("tokens > 0 and doc_id is not null").dropDuplicates(["doc_id", "copy"])
     n = F.ceil(F.col("tokens") / capacity).cast("int")
-    pieces = sizes.select("doc_id", "tokens", n.alias("n_pieces"), F.explode(F.sequence(F.lit(0), n - 1)).alias("piece")).select(
-        "doc_id", "piece", (F.col("piece") * F.lit(capacity)).cast("long").alias("start_token"),
+    pieces = sizes.select("doc_id", "copy", "tokens", n.alias("n_pieces"), F.explode(F.sequence(F.lit(0), n - 1)).alias("piece")).select(
+        *_ITEM, (F.col("piece") * F.lit(capacity)).cast("long").alias("start_token"),
         F.least(F.lit(capacity), F.col("tokens") - F.col("piece") * capacity).cast("long").alias("n_tokens"), "n_pieces",
     )
     pieces = staged(pieces, "pieces")
-    counts = pieces.where("piece = 0").select("doc_id", "n_pieces")
     whole = pieces.where(F.col("n_tokens") == capacity)
-    done = whole.select("doc_id", "piece", "start_token", "n_tokens", F.concat(F.lit("f-"), "doc_id", F.lit("-"), "piece").alias("container"))
+    done = whole.select(*_ITEM, "start_token", "n_tokens", F.concat_ws("-", F.lit("f"), *_ITEM).alias("container"))
     first = staged(_pack_round(pieces.where(F.col("n_tokens") < capacity).drop("n_pieces"), capacity, per_task, "a"), "packed")
     good = F.col("filled") >= int(full * capacity)
-    again = first.where(~good).select("doc_id", "piece", "start_token", "n_tokens")
+    again = first.where(~good).select(*_ITEM, "start_token", "n_tokens")
     second = _pack_round(again, capacity, per_task, "b")
     packed = done.unionByName(first.where(good).drop("filled")).unionByName(second.drop("filled"))
-    many = counts.where("n_pieces > 1")
-    return packed.join(many, "doc_id", "left").select(
-        "doc_id", "piece", F.coalesce("n_pieces", F.lit(1)).alias("n_pieces"), "start_token", "n_tokens", "container"
+    many = pieces.where("piece = 0 and n_pieces > 1").select("doc_id", "copy", "n_pieces")
+    return packed.join(many, ["doc_id", "copy"], "left").select(
+        *_ITEM, F.coalesce("n_pieces", F.lit(1)).alias("n_pieces"), "start_token", "n_tokens", "container"
     )
 
 
+def split_texts(packed: DataFrame) -> DataFrame:
+    """Ids of the texts that lie in more than one container: doc_id."""
+    lies = packed.groupBy("doc_id", "copy").agg(F.min("container").alias("a"), F.max("container").alias("b"))
+    return lies.where("a <> b").select("doc_id").distinct()
+
+
+def containers(packed: DataFrame) -> DataFrame:
+    """What each container holds: container, n_pieces, filled (tokens)."""
+    return packed.groupBy("container").agg(F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("filled"))
+
+
 def piece_texts(df: DataFrame, packed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The packed pieces with their texts: whole texts as they are, pieces from their first token to the next piece's.
 
@@ -155,7 +172,7 @@ def piece_texts(df: DataFrame, packed: DataFrame, doc_id: str = "doc_id", text:
                         end = m.start()
                         break
                 out.append(t[begin:end])
-            yield pdf.assign(text=out)[["container", "doc_id", "piece", "text"]]
+            yield pdf.assign(text=out)[["container", *_ITEM, "text"]]
 
-    texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).dropDuplicates(["doc_id"])
-    return texts.join(packed, "doc_id").mapInPandas(slice_texts, "container string, doc_id long, piece int, text string")
+    texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("copy"), F.col(text).alias("text")).dropDuplicates(["doc_id", "copy"])
+    return texts.join(packed, ["doc_id", "copy"]).mapInPandas(slice_texts, "container string, doc_id long, copy long, piece int, text string")

@@ -49,13 +49,23 @@ def p6_persons(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_texts(table(spark, folder, "documents")).where("n_pieces > 1").select("doc_id").distinct()
+    """Documents of which the packing has put parts into several containers."""
+    return packing.split_texts(packing.pack_texts(table(spark, folder, "documents")))
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_texts(table(spark, folder, "documents"))
 
 
+def p7_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether all is packed, nothing overflows, and containers are no more than one in a hundred, and one, over the least possible."""
+    held = packing.containers(packing.pack_texts(table(spark, folder, "documents")))
+    least = F.ceil(F.sum("filled") / 2048)
+    return held.agg(
+        F.sum("filled").alias("n_tokens"), F.sum("n_pieces").alias("n_pieces"), (F.max("filled") <= 2048).alias("none_overflows"), (F.count("*") <= least * 1.01 + 1).alias("few"),
+    )
+
+
 def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """How each text is cut, whatever the container."""
     return packing.pack_texts(table(spark, folder, "documents")).select("doc_id", "piece", "n_pieces", "start_token", "n_tokens")
@@ -121,6 +131,7 @@ p AS (SELECT s.*, coalesce(c.component, s.subject_id) AS person FROM s LEFT JOIN
 b AS (SELECT person FROM p GROUP BY 1 HAVING count(DISTINCT split) > 1)
 SELECT DISTINCT subject_id FROM p JOIN b USING (person)""",
     "p7_found": _PIECES + "SELECT doc_id FROM p WHERE n > 2048",
+    "p7_summary": _PIECES + "SELECT CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(n_pieces) AS BIGINT) AS n_pieces, true AS none_overflows, true AS few FROM p",
     "p7_pieces": _PIECES + """, q AS (SELECT *, unnest(range(n_pieces)) AS piece FROM p)
 SELECT doc_id, CAST(piece AS INTEGER) AS piece, n_pieces, CAST(piece * 2048 AS BIGINT) AS start_token, CAST(least(2048, n - piece * 2048) AS BIGINT) AS n_tokens FROM q""",
     "p8_found": _LEAKS + "SELECT DISTINCT doc_id, item_id FROM ds JOIN bs USING (s)",
@@ -139,6 +150,7 @@ QUERIES = {
     "p6_persons": p6_persons,
     "p7_found": p7_found,
     "p7_containers": p7_containers,
+    "p7_summary": p7_summary,
     "p7_pieces": p7_pieces,
     "p8_found": p8_found,
     "p8_leaked_words": p8_leaked_words,

@@ -72,5 +72,23 @@ def test_pieces_give_the_text_back(spark):
             assert all(len(TOKEN.findall(x)) <= 64 for x in parts)
 
 
+def test_several_texts_under_one_id(spark):
+    rows = [(1, "a " * 100), (1, "b " * 40), (1, "b " * 40), (2, "c " * 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = packing.pack_texts(df, capacity=64)
+    got = packed.collect()
+    assert sorted((r.doc_id, r.piece, r.n_tokens) for r in got) == [(1, 0, 40), (1, 0, 64), (1, 1, 36), (2, 0, 10)]
+    assert sorted(r.text for r in packing.piece_texts(df, packed).collect() if r.doc_id == 1 and r.piece == 0) == ["a " * 64, "b " * 40]
+    assert [r.doc_id for r in packing.split_texts(packed).collect()] == [1]
+
+
+def test_split_texts_come_from_the_containers(spark):
+    """Without the packing there are no such rows: they are read off its containers."""
+    packed = packing.pack_texts(spark.createDataFrame([(1, "a " * 100), (2, "b " * 64), (3, "c")], "doc_id long, text string"), capacity=64)
+    assert [r.doc_id for r in packing.split_texts(packed).collect()] == [1]
+    assert packing.split_texts(packed.withColumn("container", packing.F.lit("one"))).count() == 0
+    assert sorted(r.filled for r in packing.containers(packed).collect()) == [37, 64, 64]
+
+
 def test_nothing(spark):
     assert packing.pack_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
