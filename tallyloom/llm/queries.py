@@ -37,13 +37,28 @@ def _splits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _splits(spark, folder).where("n_current > 1 and in_current").select(F.col("id").alias("subject_id"))
+    """Subjects whose person split_map tears apart and the balanced assignment keeps in one split."""
+    return _splits(spark, folder).where("in_current and n_current > 1 and n_assigned = 1").select(F.col("id").alias("subject_id"))
 
 
 def p6_assignment(spark: SparkSession, folder: str) -> DataFrame:
     return _splits(spark, folder).select(F.col("id").alias("subject_id"), "component", "weight", "bin", "split")
 
 
+def p6_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether every subject has a split, every person one, and no split is further from its share than a bin is heavy."""
+    rows = _splits(spark, folder).select("component", "weight", "bin", "split", "n_assigned").checkpoint()
+    targets = table(spark, folder, "split_targets")
+    total = rows.agg(F.sum("weight")).scalar()
+    off = rows.groupBy("split").agg(F.sum("weight").alias("w")).join(targets, F.col("split") == F.col("split_name"), "right")
+    off = off.agg(F.max(F.abs(F.coalesce("w", F.lit(0.0)) - F.col("share") * total)))
+    heaviest = rows.groupBy("bin").agg(F.sum("weight").alias("w")).agg(F.max("w"))
+    return rows.agg(
+        F.count("split").alias("n_subjects"), F.countDistinct("component").alias("n_persons"), F.sum("weight").cast("long").alias("n_rows"),
+        (F.max("n_assigned") == 1).alias("together"), (off.scalar() <= heaviest.scalar()).alias("shares_kept"),
+    )
+
+
 def p6_persons(spark: SparkSession, folder: str) -> DataFrame:
     return splits.components(table(spark, folder, "subject_links"), "subject_id", "linked_subject_id")
 
@@ -130,6 +145,10 @@ SELECT label_id, obs_id FROM r WHERE i = 1""",
 p AS (SELECT s.*, coalesce(c.component, s.subject_id) AS person FROM s LEFT JOIN c ON c.id = s.subject_id),
 b AS (SELECT person FROM p GROUP BY 1 HAVING count(DISTINCT split) > 1)
 SELECT DISTINCT subject_id FROM p JOIN b USING (person)""",
+    "p6_summary": _PERSONS + r""", i AS (SELECT subject_id AS id FROM measurements UNION SELECT id FROM c
+  UNION SELECT subject_id FROM split_map WHERE regexp_matches(lower(shard), '(train|tuning|held_out)'))
+SELECT count(*) AS n_subjects, count(DISTINCT coalesce(c.component, i.id)) AS n_persons, (SELECT count(subject_id) FROM measurements) AS n_rows, true AS together, true AS shares_kept
+FROM i LEFT JOIN c USING (id) WHERE i.id IS NOT NULL""",
     "p7_found": _PIECES + "SELECT doc_id FROM p WHERE n > 2048",
     "p7_summary": _PIECES + "SELECT CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(n_pieces) AS BIGINT) AS n_pieces, true AS none_overflows, true AS few FROM p",
     "p7_pieces": _PIECES + """, q AS (SELECT *, unnest(range(n_pieces)) AS piece FROM p)
@@ -147,6 +166,7 @@ QUERIES = {
     "p5_term_frequencies": p5_term_frequencies,
     "p6_found": p6_found,
     "p6_assignment": p6_assignment,
+    "p6_summary": p6_summary,
     "p6_persons": p6_persons,
     "p7_found": p7_found,
     "p7_containers": p7_containers,

@@ -150,9 +150,9 @@ def grouped_splits(ids: DataFrame, links: DataFrame, targets: DataFrame, current
     ``ids``: (id, weight) with the records of each id, repeated ids add up; ``links``: (a, b);
     ``targets``: (split, share), a handful of rows, read by the driver; ``current``: (id, split),
     an assignment to audit, may repeat and contradict itself. Every id of any of the tables gets
-    a row: id, component, weight, bin, split, n_current (splits that its component has in
-    ``current``), in_current (whether the id itself is there), so that components torn apart by
-    ``current`` have n_current > 1. Null ids and null current splits are left out; ids without
+    a row: id, component, weight, bin, split, n_current and n_assigned (how many splits its
+    component has in ``current`` and in the new assignment), in_current (whether the id itself is
+    there). Components torn apart by ``current`` have n_current > 1; n_assigned is 1. Null ids and null current splits are left out; ids without
     links are components of their own; ids of weight 0 are spread evenly. Empty tables give no rows.
 
     Balancing sees components only as weights, see ``balance``; the driver sees ``bins`` sums.
@@ -175,8 +175,10 @@ def grouped_splits(ids: DataFrame, links: DataFrame, targets: DataFrame, current
     split_of = allocate(sums, {r[0]: float(r[1]) for r in targets.select(*targets.columns[:2]).dropna().collect()})
     table = spark.createDataFrame(list(split_of.items()), "bin long, split string")
     placed = placed.join(F.broadcast(table), "bin").select("component", "bin", "split")
-    kept = current.join(nodes.select("id", "component"), "id").groupBy("component").agg(F.countDistinct("current").alias("n_current"))
+    assigned = skew_lookup(nodes, "component", placed, "component", ["bin", "split"]).checkpoint()
+    # Both assignments are audited together, by the components that were balanced.
+    audit = assigned.join(current, "id", "left").groupBy("component")
+    audit = audit.agg(F.size(F.collect_set("current")).alias("n_current"), F.size(F.collect_set("split")).alias("n_assigned"))
     present = current.select("id").distinct().withColumn("in_current", F.lit(True))
-    facts = placed.join(kept, "component", "left")
-    out = skew_lookup(nodes, "component", facts, "component", ["bin", "split", F.coalesce("n_current", F.lit(0)).alias("n_current")])
-    return out.join(present, "id", "left").select("id", "component", "weight", "bin", "split", "n_current", F.coalesce("in_current", F.lit(False)).alias("in_current"))
+    out = skew_lookup(assigned, "component", audit, "component", ["n_current", "n_assigned"])
+    return out.join(present, "id", "left").select("id", "component", "weight", "bin", "split", "n_current", "n_assigned", F.coalesce("in_current", F.lit(False)).alias("in_current"))

@@ -97,10 +97,20 @@ def test_grouped_splits(spark):
     for i, s in current:
         if s is not None:
             now[joined.get(i, i)].add(s)
+    assert {r.n_assigned for r in out} == {1}
     assert {r.id: r.n_current for r in out} == {r.id: len(now[r.component]) for r in out}
     assert {r.id for r in out if r.in_current} == {i for i, s in current if s is not None}
 
 
+def test_without_balancing_no_person_counts_as_kept(spark, monkeypatch):
+    monkeypatch.setattr(splits, "allocate", lambda sums, targets: {b: None for b, _ in sums})
+    out = splits.grouped_splits(
+        spark.createDataFrame([(1, 1), (2, 1)], "s long, n long"), spark.createDataFrame([(1, 2)], "a long, b long"), spark.createDataFrame([("train", 1.0)], "split_name string, share double"),
+        spark.createDataFrame([(1, "train"), (2, "tuning")], "s long, x string"),
+    )
+    assert {(r.n_current, r.n_assigned) for r in out.collect()} == {(2, 0)}
+
+
 def test_grouped_splits_of_nothing(spark):
     empty = spark.createDataFrame([], "a long, b long")
     targets = spark.createDataFrame([("train", 1.0)], "split_name string, share double")
