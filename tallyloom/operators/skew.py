@@ -16,14 +16,17 @@ from tallyloom.functions.values import finite
 from tallyloom.workspace import staged
 
 
+def hot_and_all(df: DataFrame, key: str, share: int = 1000, least: int = 10_000) -> tuple[list, int]:
+    """Keys with more than one in ``share`` of all rows, and more than ``least``: fewer than ``share`` of them, by arithmetic; and how many keys there are, nulls apart."""
+    limit = max(least, df.count() // share)
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
+    found = counts.agg(F.collect_list(F.when(F.col("count") > limit, F.col(key))), F.count("*")).first()
+    return list(found[0]), found[1]
+
+
 def hot_keys(df: DataFrame, key: str, share: int = 1000, least: int = 10_000) -> list:
-    """Keys with more than one in ``share`` of all rows, and more than ``least``: fewer than ``share`` of them, by arithmetic."""
-    rows = df.count()
-    if rows <= least:
-        return []
-    limit = max(least, rows // share)
-    counts = df.groupBy(key).count()
-    return [r[0] for r in counts.where((F.col("count") > limit) & F.col(key).isNotNull()).select(key).collect()]
+    """The hot keys of ``hot_and_all``."""
+    return hot_and_all(df, key, share, least)[0] if df.count() > least else []
 
 
 def skew_lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, columns: Sequence[str], hot: list | None = None) -> DataFrame:
