@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions.values import live_rows
 from tallyloom.llm import leaks, nearest, packing, personal, splits, terms
+from tallyloom.operators.skew import hot_and_all
 from tallyloom.sources.tables import table
 
 
@@ -17,8 +17,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _terms(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "measurements")
-    subjects = rows.select("subject_id").dropna().distinct().count()
-    return terms.term_frequencies(live_rows(rows), "subject_id", "code", subjects)
+    hot, subjects = hot_and_all(rows, "subject_id")
+    return terms.marked(terms.distinct_term_counts(rows, "subject_id", "code", ["time", "numeric_value"], hot), subjects)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

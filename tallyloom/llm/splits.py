@@ -7,7 +7,7 @@ differencing; whole bins go to splits by target share.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,11 +18,33 @@ from tallyloom.operators.skew import hot_keys, skew_lookup
 from tallyloom.workspace import scratch_root
 
 
+def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The links of each Arrow batch as stars around the smallest id of what they join: no more links than ids, and no paths."""
+    for pdf in batches:
+        root: dict[int, int] = {}
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
+            ends = []
+            for x in (u, v):
+                while (up := root.setdefault(x, x)) != x:
+                    root[x] = root[up]  # halve the path
+                    x = up
+                ends.append(x)
+            root[max(ends)] = min(ends)
+        stars = []
+        for x in root:
+            top = x
+            while root[top] != top:
+                top = root[top]
+            if top != x:
+                stars.append((x, top))
+        yield pd.DataFrame(stars, columns=["u", "v"], dtype="int64")
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """The connected components of undirected links: id, component (its smallest id), one row per id.
 
     Repeated and reversed links and links of an id to itself change nothing; links with a null
-    are left out. Each round takes the smallest label among an id's neighbours and its own, gives
+    are left out. Each batch of links is first contracted by itself. Each round then takes the smallest label among an id's neighbours and its own, gives
     it on to the id's present root, and then jumps to the label's own label, so that rounds grow
     with the logarithm of the longest path. Labels are cut from their lineage by ``checkpoint``;
     links and labels stay distributed, and hubs are looked up by ``skew_lookup``.
@@ -30,7 +52,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     scratch_root(links.sparkSession)
     pairs = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).dropna()
     own = pairs.select("u").union(pairs.select("v")).distinct()
-    edges = pairs.where("u <> v").select("u", "v").union(pairs.where("u <> v").select("v", "u")).distinct().checkpoint()
+    stars = pairs.where("u <> v").mapInPandas(_contract, "u long, v long").distinct().checkpoint()
+    edges = stars.union(stars.select("v", "u"))
     labels = own.select(F.col("u").alias("id"), F.col("u").alias("component")).checkpoint()
     hubs = hot_keys(edges, "v")
     while True:

@@ -17,6 +17,18 @@ def test_terms(spark):
     assert terms.term_frequencies(df.limit(0), "subject_id", "code", 0).count() == 0
 
 
+def test_terms_of_rows_sent_twice(spark):
+    """Repeated rows count once, whether their record is hot or not."""
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 2, 3, 4, None]), rng.choice([" a", "A ", "b", "c", None]), rng.randrange(6), rng.choice([0.5, None, float("nan")])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "subject_id long, code string, t long, numeric_value double").selectExpr("*", "timestamp_seconds(t) as time", "1 as n")
+    live = {(s, c.strip().upper(), t, v if v == v else None) for s, c, t, v in rows if s is not None and c is not None}
+    want = {c: (len([x for x in live if x[1] == c]), len({x[0] for x in live if x[1] == c})) for c in "ABC"}
+    for hot in ([], [1], [1, 2, 3, 4]):
+        got = terms.distinct_term_counts(df.drop("t"), "subject_id", "code", ["time", "numeric_value"], hot)
+        assert {r.term: (r.n, r.n_records) for r in terms.marked(got, 4).collect()} == want
+
+
 def brute_components(links):
     peer = {}
 
@@ -39,8 +51,11 @@ def test_components(spark):
     star = [(1000 + i, 999) for i in range(50)]
     links = path + star + [(b, a) for a, b in path[:20]] + star[:5] + [(7, 7), (None, 3), (4, None), (5, 6), (160, 90)] + [(rng.randrange(2000, 2040), rng.randrange(2000, 2040)) for _ in range(25)]
     df = spark.createDataFrame(links, "a long, b long").selectExpr("a", "b", "1 as id", "2 as component")
-    got = {r.id: r.component for r in splits.components(df, "a", "b").collect()}
-    assert got == brute_components(links)
+    for batch in ("10000", "7"):  # one batch joins all, and many that only rounds can join
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = {r.id: r.component for r in splits.components(df, "a", "b").collect()}
+        assert got == brute_components(links)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert splits.components(df.limit(0), "a", "b").count() == 0
 
 
