@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,6 +110,28 @@ def _move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"can't move {source}")
 
 
+def _cut_crowded(near: DataFrame, asks: DataFrame, stretch: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their ``place`` in a stretch: 0, or where an entity has more than ``most`` right rows in it, one of several."""
+    key = ["entity", "stretch"]
+    many = near.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    many = staged(many.select(*key, F.greatest(F.lit(1), F.expr(f"{stretch} div ceil(2 * n / {most})")).cast("long").alias("length")), "crowded")
+    if many.isEmpty():
+        return near.withColumn("place", F.lit(0)), asks.withColumn("place", F.lit(0))
+    # The few crowded stretches hold any number of rows: they meet by a broadcast if the list is short, else AQE parts what is skewed.
+    inside = F.expr(f"greatest(least(t - stretch * {stretch}, {stretch - 1}), 0)")
+    place = F.when(F.col("length").isNotNull(), F.floor(inside / F.col("length")).cast("long")).otherwise(0).alias("place")
+    near, asks = (side.join(many, key, "left").select("entity", "t", "id", "stretch", place, F.col("length").isNotNull().alias("cut")) for side in (near, asks))
+    ends = near.where("cut").groupBy(*key, "place").agg(F.min(F.struct("t", "id")).alias("first"), F.max(F.struct("t", "id")).alias("last"))
+    all_places = ends.unionByName(asks.where("cut").select(*key, "place").distinct(), allowMissingColumns=True).groupBy(*key, "place")
+    # A stretch has no more places than it has times ``most`` rows, and twice that.
+    order = Window.partitionBy(*key).orderBy("place")
+    before = F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    lent = all_places.agg(F.min("first").alias("first"), F.max("last").alias("last")).select(*key, "place", F.array(before, after).alias("both"))
+    lent = lent.select(*key, "place", F.explode("both").alias("r")).where("r is not null")
+    return near.drop("cut").unionByName(lent.select("entity", "r.t", "r.id", "stretch", "place")), asks.drop("cut")
+
+
 def nearest_in_time(
     left: DataFrame,
     right: DataFrame,
@@ -121,8 +143,9 @@ def nearest_in_time(
     right_entity: str = "subject_id",
     right_time: str = "time",
     stretch: int | None = None,
-    slices: int = 4,
+    rows_per_slice: int | None = None,
     rows_per_bucket: int = 20_000,
+    rows_per_place: int = 100_000,
 ) -> DataFrame:
     """Each left row with the right row of its entity nearest in time, at most ``tolerance`` microseconds off.
 
@@ -134,13 +157,19 @@ def nearest_in_time(
 
     ``stretch``, eight tolerances unless given, is the length of time that shares a bucket: the
     rows of an entity are spread over as many buckets as it has stretches, and a left row near
-    the border of two asks in both.
+    the border of two asks in both. Of right rows of an entity at one time only the one with the
+    smallest id can win, and only it goes on. Where an entity still has more than
+    ``rows_per_place`` rows in a stretch, as a sensor may, that stretch is cut into equal places,
+    each of which also gets the right row before its first and the one after its last, so that a
+    left row asks in one place of a stretch only.
 
     Stored tables are replayed through the streaming join in order of time: right rows that no
     left row can reach are first removed by a semi-join on (entity, stretch of half a tolerance);
-    the rest is written as a log of ``slices`` time slices, and each slice is given to the stream
-    as new files, with the state and watermark of the slices before it. So no row is ever late,
-    and state holds one slice at most. A last mark moves the watermark past every horizon.
+    the rest is written as a log of time slices of about ``rows_per_slice`` rows (a million for
+    each shuffle partition unless given), and each slice is given to the stream as new files,
+    with the state and watermark of the slices before it. So no row is ever late, and state holds
+    one slice and what is within a tolerance of it, however long the log. A last mark moves the
+    watermark past every horizon.
     """
     spark = left.sparkSession
     stretch = 8 * tolerance + 1 if stretch is None else stretch
@@ -159,18 +188,23 @@ def nearest_in_time(
     cell = tolerance // 2 + 1
     reachable = lefts.select("entity", places(cell).alias("cell")).distinct()
     near = rights.where(F.col("t").between(bounds[0] - tolerance, bounds[1] + tolerance)).withColumn("cell", _part("t", cell))
-    near = near.join(reachable, ["entity", "cell"], "left_semi")
-    log = (
-        lefts.select(F.lit(0).alias("side"), "entity", places(stretch).alias("stretch"), "t", "id")
-        .unionByName(near.select(F.lit(1).alias("side"), "entity", _part("t", stretch).alias("stretch"), "t", "id"))
-        .withColumn("stretch", F.col("stretch").cast("long"))
-    )
+    near = near.join(reachable, ["entity", "cell"], "left_semi").groupBy("entity", "t").agg(F.min("id").alias("id"))
+    near = staged(near.select("entity", "t", "id", _part("t", stretch).alias("stretch")), "near")
+    asks = lefts.select("entity", "t", "id", places(stretch).alias("stretch"))
+    near, asks = _cut_crowded(near, asks, stretch, rows_per_place)
+    # Should two places of an entity share a hash, each sees right rows of the other, which are real ones and as far off as they are.
+    place = F.xxhash64("stretch", "place").alias("stretch")
+    log = asks.select(F.lit(0).alias("side"), "entity", place, "t", "id").unionByName(near.select(F.lit(1).alias("side"), "entity", place, "t", "id"))
     shift = bounds[0] - tolerance - DAY
-    cuts = sorted(set(lefts.approxQuantile("t", [i / slices for i in range(1, slices)], 0.01)))
-    number = sum([(F.col("t") >= int(c)).cast("int") for c in cuts], F.lit(0))
     base = scratch_path(spark, "nearest")
-    log.withColumn("event_time", F.timestamp_micros(_part(f"t - ({shift})", CLOCK))).withColumn("slice", number).write.partitionBy("slice").parquet(f"{base}/staged")
-    rows = spark.read.parquet(f"{base}/staged").count()
+    times = near.select("t").unionByName(lefts.select("t"))
+    rows = times.count()
+    rows_per_slice = rows_per_slice or 1_000_000 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(1, -(-rows // rows_per_slice))
+    cuts = sorted(set(times.approxQuantile("t", [i / slices for i in range(1, slices)], 0.1 / slices))) if slices > 1 else []
+    number = sum([(F.col("t") >= int(c)).cast("int") for c in cuts], F.lit(0))
+    log = log.withColumn("event_time", F.timestamp_micros(_part(f"t - ({shift})", CLOCK)))
+    log.withColumn("slice", number).write.partitionBy("slice").parquet(f"{base}/staged")
     end = bounds[1] + 2 * tolerance + DAY  # the clock's millisecond is a second of the data
     mark = spark.range(1).select(
         F.lit(2).alias("side"), F.lit(0).cast("long").alias("entity"), F.lit(0).cast("long").alias("stretch"), F.lit(end).cast("long").alias("t"), F.lit(0).cast("long").alias("id"),

@@ -60,7 +60,7 @@ def test_stream_against_brute_force(spark):
     # Two equally near: the earlier; many at one time: the smallest id.
     left += [(1010, 10, T)]
     right += [(5, 10, T + dt.timedelta(hours=1)), (9, 10, T - dt.timedelta(hours=1)), (7, 10, T - dt.timedelta(hours=1)), (8, 10, T - dt.timedelta(hours=1))]
-    got = found(nearest_in_time(*tables(spark, left, right), rows_per_bucket=40))
+    got = found(nearest_in_time(*tables(spark, left, right), rows_per_bucket=40, rows_per_slice=150))
     assert got == brute(left, right, TOL)
     assert got[1010] == (7, -3_600_000_000) and 1001 not in got and got[1004] == (1004, -4 * 3_600_000_000)
 
@@ -68,4 +68,15 @@ def test_stream_against_brute_force(spark):
 def test_empty_and_repeated(spark):
     assert found(nearest_in_time(*tables(spark, [], [(1, 1, T)]))) == {}
     assert found(nearest_in_time(*tables(spark, [(1, 1, T)], []))) == {}
-    assert found(nearest_in_time(*tables(spark, [(1, 1, T)] * 3, [(4, 1, T + US)] * 3), slices=2)) == {1: (4, 1)}
+    assert found(nearest_in_time(*tables(spark, [(1, 1, T)] * 3, [(4, 1, T + US)] * 3), rows_per_slice=1)) == {1: (4, 1)}
+
+
+def test_one_entity_with_all_rows_in_a_day(spark):
+    """Crowded stretches are cut into places, and rows across empty places, and from the stretch beside, are found as well."""
+    rng = random.Random(5)
+    moment = lambda: T + dt.timedelta(seconds=rng.choice([rng.randrange(3600), 40_000 + rng.randrange(9000), rng.randrange(86_400)]))
+    left = [(i, 1, moment()) for i in range(250)] + [(900 + i, 1, T + dt.timedelta(hours=h)) for i, h in enumerate((-7, -5, 25, 29, 31, 47, 49))]
+    right = [(i, rng.choice([1] * 40 + [2]), moment()) for i in range(1500)] + [(5000, 1, T + dt.timedelta(hours=50))]
+    for length in (None, 2 * TOL):
+        got = nearest_in_time(*tables(spark, left, right), rows_per_place=30, rows_per_slice=700, rows_per_bucket=100, stretch=length)
+        assert found(got) == brute(left, right, TOL)
