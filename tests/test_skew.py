@@ -2,8 +2,7 @@ import math
 import random
 from collections import defaultdict
 
-
-
+from tallyloom.operators import skew
 from tallyloom.operators.skew import heavy_keys, hot_keys, key_quantiles, skew_lookup
 
 SCHEMA = "subject_id long, numeric_value double"
@@ -31,7 +30,17 @@ def test_exact_with_a_hot_key_and_hard_values(spark):
     hot = [(1, rng.choice([rng.gauss(0, 1), 5e-324, 1e300, -1e300, 1 + rng.randrange(4) * 2**-52, 0.0, -0.0, rng.uniform(-1e6, 1e6)])) for _ in range(3000)]
     rest = [(rng.choice([2, 3, None]), rng.choice([None, float("nan"), float("inf"), 1.5, 2.5, -3.0])) for _ in range(300)] + [(4, None)]
     rows = hot + rest
-    assert got(key_quantiles(spark.createDataFrame(rows, SCHEMA), buckets=8)) == brute(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert got(key_quantiles(df, buckets=8)) == brute(rows)
+    assert got(key_quantiles(df, buckets=8, least_hot=20, salts=5)) == brute(rows)  # hot keys, the null one too, by a salt
+
+
+def test_counts_come_from_the_refined_histogram(spark, monkeypatch):
+    """Where no rank is resolved, no value is counted."""
+    df = spark.createDataFrame([(1, float(i)) for i in range(40)] + [(1, None), (2, None)], SCHEMA)
+    assert got(key_quantiles(df))[1][:2] == (41, 40)
+    monkeypatch.setattr(skew, "_coarse", lambda v: skew.F.lit(None).cast("int"))
+    assert got(key_quantiles(df))[1][1] == 0
 
 
 def test_ties_repeats_and_extremes(spark):
