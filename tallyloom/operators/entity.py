@@ -7,11 +7,12 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.values import CODE_BLANKS, clean_code, finite, from_units, to_units
+from tallyloom.operators.ordering import number_rows
 from tallyloom.workspace import staged
 
 #: A dictionary of at most so many spellings is broadcast (some 100 MB at 100 bytes each); a larger one is joined by shuffle.
@@ -23,11 +24,12 @@ def code_index(df: DataFrame, code: str = "code") -> DataFrame:
     """Dictionary of the codes of a table: spelling, code (cleaned), idx (0, 1, ... in order of code).
 
     One row per spelling; the spellings of a code share its idx. The dictionary is as long as
-    there are spellings, not rows; only this list is numbered.
+    there are spellings, not rows; only this list is numbered, in ranges.
     """
     spellings = df.select(F.col(code).alias("spelling")).where(F.col(code).isNotNull()).distinct()
-    number = F.dense_rank().over(Window.orderBy("code")) - 1
-    return staged(spellings.withColumn("code", clean_code(F.col("spelling"))).withColumn("idx", number), "codes")
+    spellings = staged(spellings.withColumn("code", clean_code(F.col("spelling"))), "spellings")
+    numbers = number_rows(spellings.select("code").distinct(), ["code"], "idx")
+    return staged(spellings.join(numbers, "code").select("spelling", "code", F.col("idx").cast("int").alias("idx")), "codes")
 
 
 def _if_small(dictionary: DataFrame) -> DataFrame:

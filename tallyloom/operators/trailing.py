@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.values import day_number, from_units, to_units
+from tallyloom.workspace import staged
 
 
 def daily_leaves(df: DataFrame, keys: Sequence[str], time: str, value: str, scale: int = 1) -> DataFrame:
@@ -129,7 +130,9 @@ def correct_trees(trees: DataFrame, corrections: DataFrame, keys: Sequence[str],
             out["totals"], out["counts"] = kept
             yield out
 
+    # Read twice, made once.
     changed = _by_shard(corrections.groupBy(*keys, "day").agg(F.sum("total").alias("total"), F.sum("n").alias("n")), keys, shard_days)
+    changed = staged(changed, "changed")
     touched = changed.join(trees, on, "left").mapInPandas(amend, trees.schema)
     return trees.join(changed, on, "left_anti").select(trees.columns).unionByName(touched)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.values import live_rows
 from tallyloom.operators import entity, skew, trailing
 from tallyloom.sources.tables import table
+from tallyloom.workspace import staged
 
 
 def doses(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,7 +41,8 @@ def p1_late_corrections(spark: SparkSession, folder: str) -> DataFrame:
     before, after = leaves(rows.where(~F.coalesce(late, F.lit(False)))), leaves(rows)
     signed = after.unionByName(before.withColumn("total", -F.col("total")).withColumn("n", -F.col("n")))
     changes = signed.groupBy(*keys, "day").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).where("total <> 0 or n <> 0")
-    trees = trailing.correct_trees(trailing.build_trees(before, keys), changes, keys)
+    stored = staged(trailing.build_trees(before, keys), "trees")
+    trees = trailing.correct_trees(stored, changes, keys)
     return trailing.query_trees(trees, keys).select(
         "subject_id", "code", F.date_format("day", "yyyy-MM-dd").alias("obs_day"), "n_7", "n_30", F.col("total_7").cast("double").alias("total_7"),
         F.col("total_30").cast("double").alias("total_30"),
@@ -66,6 +68,26 @@ def p3_feature_rows(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("subject_id", "code", "n", F.col("total").cast("double").alias("total"), "latest")
 
 
+def p3_merged_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The feature rows, from vectors of two parts of the events that are then merged."""
+    rows = table(spark, folder, "measurements")
+    dictionary = entity.code_index(rows)
+    events = entity.encode_events(rows, dictionary)
+    half = F.pmod(F.xxhash64("time", "numeric_value"), F.lit(2))
+    merged = entity.merge_vectors(*[entity.entity_vectors(events.where(half == i)) for i in (0, 1)])
+    found = entity.long_features(merged, dictionary)
+    return found.select("subject_id", "code", "n", F.col("total").cast("double").alias("total"), "latest")
+
+
+def p3_table_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of the feature table, read back as rows."""
+    vectors, dictionary = entity.feature_table(table(spark, folder, "measurements"))
+    wide = entity.expand_columns(vectors, dictionary)
+    codes = sorted({c.rpartition("/")[0] for c in wide.columns if c != "subject_id"})
+    cells = [F.struct(F.lit(c).alias("code"), *[F.col(f"`{c}/{m}`").alias(to) for m, to in (("count", "n"), ("total", "total"), ("recency", "latest"))]) for c in codes]
+    return wide.select("subject_id", F.explode(F.array(*cells)).alias("c")).select("subject_id", "c.*").where("n > 0")
+
+
 def p3_feature_table(spark: SparkSession, folder: str) -> DataFrame:
     vectors, dictionary = entity.feature_table(table(spark, folder, "measurements"))
     return entity.expand_columns(vectors, dictionary)
@@ -106,9 +128,9 @@ m AS (SELECT *, max(n) OVER w AS mn, max(latest) OVER w AS ml, max(total) OVER w
 SELECT subject_id, 'count' AS measure, code FROM m WHERE n = mn
 UNION ALL SELECT subject_id, 'recency', code FROM m WHERE latest = ml
 UNION ALL SELECT subject_id, 'total', code FROM m WHERE total = mt""",
-    "p3_feature_rows": f"""WITH {_LIVE}
+    **dict.fromkeys(("p3_feature_rows", "p3_merged_rows", "p3_table_rows"), f"""WITH {_LIVE}
 SELECT subject_id, code, count(*) AS n, CAST(sum(CAST(v AS DECIMAL(18,1))) AS DOUBLE) AS total, max(time) AS latest
-FROM live WHERE time IS NOT NULL GROUP BY 1, 2""",
+FROM live WHERE time IS NOT NULL GROUP BY 1, 2"""),
 }
 
 QUERIES = {
@@ -119,5 +141,7 @@ QUERIES = {
     "p2_key_quantiles": p2_key_quantiles,
     "p3_found": p3_found,
     "p3_feature_rows": p3_feature_rows,
+    "p3_merged_rows": p3_merged_rows,
+    "p3_table_rows": p3_table_rows,
     "p3_feature_table": p3_feature_table,
 }
