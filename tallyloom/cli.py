@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Sequence
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +17,18 @@ from tallyloom.operators import assemble, describe, features, models, prep, roll
 from tallyloom.schema import ROLLING_AGGS, STATIC_AGGS, TabConfig
 from tallyloom.sources.sinks import finished, read_features, write_features, write_table
 from tallyloom.sources.tables import read_labels, read_observations
+from tallyloom.workspace import staged
 
 
-#: What a sweep draws from for each model.
+#: What a sweep draws from for every model: how often a feature must occur, and how cells are scaled. Imputing makes the matrix dense, so it is asked for, not drawn.
+PREPARING = {"min_code_count": ("log", 1, 1000), "scaler": [None, "standard", "max_abs"]}
+#: What a sweep draws from for each model, besides.
 SPACES = {
-    "logistic_regression": {"regParam": (1e-4, 1.0)},
-    "sgd": {"regParam": (1e-4, 0.1), "elasticNetParam": (0.0, 1.0)},
-    "random_forest": {"numTrees": (10, 60), "maxDepth": (2, 10)},
-    "gradient_boosting": {"maxIter": (5, 30), "maxDepth": (2, 6), "stepSize": (0.01, 0.3)},
+    "logistic_regression": {"regParam": ("log", 1e-4, 1.0)},
+    "sgd": {"regParam": ("log", 1e-4, 0.1), "elasticNetParam": (0.0, 1.0)},
+    "random_forest": {"numTrees": (10, 60), "maxDepth": (2, 10), "scaler": None},
+    "gradient_boosting": {"maxIter": (5, 30), "maxDepth": (2, 6), "stepSize": ("log", 0.01, 0.3), "scaler": None},
+    "knn": {"k": (1, 20), "weights": ["uniform", "distance"], "p": [1, 2]},
 }
 
 
@@ -100,8 +102,7 @@ class Stages:
         """Labels aligned with index rows, and the cells of those rows."""
         selected = self.selected()
         events = features.events_of(features.drop_rare(self.observations(), selected), selected)
-        raw = read_labels(self.spark, self.c.label_dir)
-        labels = task.first_labels(raw.withColumn("_order", F.monotonically_increasing_id()), ["_order"]).drop("_order")
+        labels = task.first_labels(read_labels(self.spark, self.c.label_dir, order="_order"), ["_order"]).drop("_order")
         aligned = task.align_labels(labels.select("subject_id", "time", "label"), features.event_index(events))
         splits = self.observations().where("subject_id is not null").groupBy("subject_id").agg(F.min("split").alias("split"))
         self._write(aligned.join(splits, "subject_id"), self.labels_path, ["split"])
@@ -113,13 +114,14 @@ class Stages:
             aligned = self.spark.read.parquet(self.labels_path)
             write_features(task.gather_rows(aligned, cells.drop("split"), keyed_by == "labels").join(splits, "subject_id"), self.cache_path, overwrite=self.c.overwrite)
 
-    def matrix(self, windows: Sequence[str], aggs: Sequence[str]) -> DataFrame | None:
+    def matrix(self, windows: Sequence[str], aggs: Sequence[str], min_code_count: int | None = None, scaler: str | None = None) -> DataFrame | None:
         """Labels with their vectors; None if no feature is left.
 
-        Selection by correlation, imputing and scaling, in this order, are fitted on train alone.
+        Selection by count and by correlation, imputing and scaling, in this order, are fitted on train alone.
         """
+        scaler = scaler or self.c.scaler
         try:
-            names = features.selected_names(self.selected())
+            names = features.selected_names(features.select_features(self.selected(), min_count=min_code_count))
         except ValueError:
             return None
         columns = assemble.column_table(names, windows, aggs)
@@ -141,9 +143,9 @@ class Stages:
         cells = cells.drop("split")
         if self.c.imputer:
             cells, of_train = prep.impute(labels, cells, self.c.imputer, fit_on=of_train), prep.impute(train, of_train, self.c.imputer)
-        if self.c.scaler == "standard":
+        if scaler == "standard":
             cells = prep.standard_scale(cells, train.count(), of_train)
-        elif self.c.scaler == "max_abs":
+        elif scaler == "max_abs":
             cells = prep.max_abs_scale(cells, of_train)
         return assemble.sparse_vectors(labels, cells, columns)
 
@@ -152,27 +154,28 @@ class Stages:
         return {k: v for k in ("min_correlation", "max_by_correlation", "imputer", "scaler") if (v := getattr(self.c, k)) is not None}
 
     @staticmethod
-    def _write_predictions(model: models.SparkTabularModel, rows: DataFrame, place: Path | str) -> None:
+    def _write_predictions(model: models.TabularModel, rows: DataFrame, place: str) -> None:
         for split in ("tuning", "held_out"):
             write_table(models.predictions(model.scores(rows.where(F.col("split") == split))), f"{place}/{split}_predictions", overwrite=True)
 
     def sweep(self, name: str = "logistic_regression", trials: int = 10, keep: int = 3, threads: int = 2) -> str | None:
         """Seeded trials over subsets of windows and aggregations and the model's parameters; the best one's name."""
-        space = SPACES[name] | {"windows": subsets.non_empty_subsets(self.c.windows), "aggs": subsets.non_empty_subsets(self.c.aggs)}
+        space = PREPARING | SPACES[name] | {"windows": subsets.non_empty_subsets(self.c.windows), "aggs": subsets.non_empty_subsets(self.c.aggs)}
 
-        def run(params: dict, place: Path) -> tuple[float, float]:
-            own = {k: v for k, v in params.items() if k not in ("windows", "aggs")}
-            rows = self.matrix(params["windows"], params["aggs"])
+        def run(params: dict, place: str) -> tuple[float, float]:
+            own = {k: v for k, v in params.items() if k not in ("windows", "aggs", *PREPARING)}
+            rows = self.matrix(params["windows"], params["aggs"], params["min_code_count"], params["scaler"])
             if rows is None:
                 return 0.0, 0.0
-            model = models.SparkTabularModel(name, self.c.seed, **own)
+            rows = staged(rows, "matrix")
+            model = models.make_model(name, self.c.seed, **own)
             model.train(rows.where("split = 'train'"), rows.where("split = 'tuning'"))
-            model.save(str(place / "model"))
+            model.save(f"{place}/model")
             self._write_predictions(model, rows, place)
             return model.evaluate(rows.where("split = 'tuning'")), model.evaluate(rows.where("split = 'held_out'"))
 
         folder = f"{self.c.output_dir}/sweep"
-        sweep.run_sweep(sweep.sample_trials(space, trials, self.c.seed), run, folder, threads)
+        sweep.run_sweep(self.spark, sweep.sample_trials(space, trials, self.c.seed), run, folder, threads)
         return sweep.finish_sweep(self.spark, folder, keep)
 
     def model(self, name: str = "logistic_regression", **params) -> float:
@@ -180,7 +183,8 @@ class Stages:
         rows = self.matrix(self.c.windows, self.c.aggs)
         if rows is None:
             return 0.0
-        model = models.SparkTabularModel(name, self.c.seed, **params)
+        rows = staged(rows, "matrix")
+        model = models.make_model(name, self.c.seed, **params)
         model.train(rows.where("split = 'train'"), rows.where("split = 'tuning'"))
         place = f"{self.models_path}/{sweep.trial_name({'model': name, 'seed': self.c.seed, **self._prepared(), **params})}"
         model.save(f"{place}/model")
@@ -199,7 +203,6 @@ def main(args: list[str]) -> None:
     config = TabConfig().with_overrides([x for x in rest if x.partition("=")[0] not in own])
     spark = SparkSession.builder.appName(f"tallyloom-{stage}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     run = Stages(spark, config)
-    Path(config.output_dir).mkdir(parents=True, exist_ok=True)
     name = own.get("model", "logistic_regression")
     if stage == "model":
         print(f"tuning AUC {run.model(name):.4f}")

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from typing import Any, Protocol
 
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators.metrics import auc_value
+from tallyloom.operators.neighbours import knn_of_points
+from tallyloom.operators.ordering import number_rows
 from tallyloom.schema import PREDICTIONS, conform
+from tallyloom.workspace import staged
 
 
 class TabularModel(Protocol):
@@ -40,6 +44,46 @@ MODELS: dict[str, Callable[..., Any]] = {
 }
 
 
+class NeighbourModel:
+    """The k nearest neighbours of a row as a model; its training rows are its state."""
+
+    def __init__(self, **params: Any) -> None:
+        self.params = {"k": 5, "weights": "uniform", "p": 2} | params
+        self.rows: DataFrame | None = None
+
+    def train(self, data: DataFrame, validation: DataFrame | None = None) -> None:
+        kept = data.select(F.col("label").cast("int").alias("y"), vector_to_array("features").alias("x"))
+        self.rows = staged(kept.where("y is not null"), "neighbours")
+
+    def scores(self, data: DataFrame) -> DataFrame:
+        """The rows with ``score``, the share of positive labels among the nearest training rows."""
+        if self.rows is None:
+            raise ValueError("the model isn't trained")
+        asked = number_rows(data, ["subject_id", "time"], "q")
+        found = knn_of_points(self.rows, asked.select("q", vector_to_array("features").alias("x")), **self.params)
+        return asked.join(found, "q", "left").drop("q")
+
+    def evaluate(self, data: DataFrame) -> float:
+        return auc_value(self.scores(data))
+
+    def save(self, path: str) -> None:
+        if self.rows is None:
+            raise ValueError("the model isn't trained")
+        self.rows.withColumn("y", F.col("y").alias("y", metadata={"params": json.dumps(self.params)})).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> NeighbourModel:
+        rows = spark.read.parquet(path)
+        model = cls(**json.loads(rows.schema["y"].metadata["params"]))
+        model.rows = rows.select("y", "x")
+        return model
+
+
+def make_model(name: str, seed: int = 1, **params: Any) -> TabularModel:
+    """A model by its name: one of ``MODELS`` or ``knn``."""
+    return NeighbourModel(**params) if name == "knn" else SparkTabularModel(name, seed, **params)
+
+
 class SparkTabularModel:
     """A registered model: trains on rows of (features, label), scores, saves, loads."""
 

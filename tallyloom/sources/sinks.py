@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.workspace import exists
+
 
 def finished(spark: SparkSession, path: str) -> bool:
     """Whether a table was completely written at a path."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
+    return exists(spark, f"{path}/_SUCCESS")
 
 
 def write_table(df: DataFrame, path: str, overwrite: bool = False, skip_if_exists: bool = False, partition_by: Sequence[str] = (), compression: str = "zstd") -> bool:

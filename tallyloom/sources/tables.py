@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.values import clean_code, finite
 from tallyloom.schema import OBSERVATIONS, conform
+from tallyloom.workspace import file_system
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,16 +16,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def list_shards(root: str, ext: str = "parquet") -> list[str]:
-    """Files below ``root`` that end in ``ext``, sorted; none if the folder doesn't exist."""
-    base = Path(root)
-    return sorted(str(p) for p in base.glob(f"**/*.{ext.lstrip('.')}")) if base.is_dir() else []
-
-
-def shard_prefix(base: str, path: str) -> str:
-    """The path of a shard below ``base``, without any suffixes: ``train/0``."""
-    relative = Path(path).relative_to(base)
-    return str(relative.parent / relative.name.split(".")[0])
+def list_shards(spark: SparkSession, root: str, ext: str = "parquet") -> dict[str, str]:
+    """The shards below ``root`` in any file system that Spark reads: ``train/0`` and the like, sorted, with the files' URIs.
+
+    A shard is named by the folders between the root and its file, and the file's name up to its
+    first dot. Two files of one name are an error; a folder that isn't there has no shards.
+    """
+    fs, path = file_system(spark, root)
+    if not fs.exists(path):
+        return {}
+    top = fs.getFileStatus(path).getPath().toUri()
+    found: dict[str, str] = {}
+    files = fs.listFiles(path, True)
+    while files.hasNext():
+        uri = files.next().getPath().toUri()
+        folders, _, file = ("/" + top.relativize(uri).getPath()).rpartition("/")
+        if not file.endswith("." + ext.lstrip(".")):
+            continue
+        name = f"{folders}/{file.partition('.')[0]}".lstrip("/")
+        if name in found:
+            raise ValueError(f"two files of shard {name}")
+        found[name] = uri.toString()
+    return dict(sorted(found.items()))
 
 
 def with_shard(df: DataFrame) -> DataFrame:
@@ -43,9 +54,11 @@ def read_observations(spark: SparkSession, root: str) -> DataFrame:
     return conform(raw, T.StructType([*OBSERVATIONS, T.StructField("split", T.StringType()), T.StructField("shard", T.StringType())]))
 
 
-def read_labels(spark: SparkSession, root: str, label_column: str = "boolean_value") -> DataFrame:
-    """All label files below a folder: subject_id, time, label, and what else they hold."""
+def read_labels(spark: SparkSession, root: str, label_column: str = "boolean_value", order: str | None = None) -> DataFrame:
+    """All label files below a folder: subject_id, time, label, and what else they hold; ``order``: a column for the place of each row, by file and row in it."""
     raw = spark.read.option("recursiveFileLookup", True).parquet(root)
+    if order is not None:
+        raw = raw.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(order))
     if "prediction_time" not in raw.columns or label_column not in raw.columns:
         raise ValueError(f"labels need prediction_time and {label_column}")
     return raw.withColumnRenamed("prediction_time", "time").withColumnRenamed(label_column, "label")

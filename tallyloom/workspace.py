@@ -16,6 +16,52 @@ from pyspark.sql import DataFrame, SparkSession
 _own: dict[str, str] = {}
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path in its terms."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in any file system, folders included; one that is there is replaced."""
+    fs, target = file_system(spark, path)
+    out = fs.create(target, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, source = file_system(spark, path)
+    file = fs.open(source)
+    text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+    file.close()
+    return text
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = file_system(spark, path)
+    return fs.exists(target)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below a path, sorted."""
+    fs, target = file_system(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(target) if f.isDirectory()) if fs.exists(target) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, target = file_system(spark, path)
+    fs.delete(target, True)
+
+
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """A file or folder to a path that isn't there yet."""
+    (fs, old), (other, new) = file_system(spark, source), file_system(spark, target)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    if not spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, old, other, new, False, conf):
+        raise OSError(f"can't copy {source}")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written intermediates; also registers it as checkpoint folder."""
     sc = spark.sparkContext
@@ -52,8 +98,6 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def sweep_scratch(spark: SparkSession) -> None:
     """Delete this application's written intermediates (results read from them become invalid)."""
     path = f"{scratch_root(spark)}/tallyloom/{spark.sparkContext.applicationId}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    delete(spark, path)
     if spark.sparkContext.applicationId in _own:
         shutil.rmtree(_own.pop(spark.sparkContext.applicationId), ignore_errors=True)

@@ -49,12 +49,16 @@ def stored(spark, tmp_path_factory):
 
 
 def test_sources(spark, stored):
-    files = tables.list_shards(str(stored / "data"))
-    assert [tables.shard_prefix(str(stored / "data"), f) for f in files] == ["held_out/0", "train/0", "train/1", "tuning/0"]
-    assert tables.list_shards(str(stored / "nowhere")) == []
+    for root in (str(stored / "data"), f"file://{stored}/data/"):
+        shards = tables.list_shards(spark, root)
+        assert list(shards) == ["held_out/0", "train/0", "train/1", "tuning/0"]
+        assert spark.read.parquet(shards["train/1"]).count() > 0
+    assert tables.list_shards(spark, str(stored / "nowhere")) == {} and tables.list_shards(spark, str(stored / "data"), "csv") == {}
     got = {(r.split, r.shard) for r in tables.read_observations(spark, str(stored / "data")).select("split", "shard").distinct().collect()}
     assert got == {("train", "0"), ("train", "1"), ("tuning", "0"), ("held_out", "0")}
     assert "label" in tables.read_labels(spark, str(stored / "labels")).columns
+    places = [r["_place"] for r in tables.read_labels(spark, str(stored / "labels"), order="_place").collect()]
+    assert len(set(places)) == len(places) and places[0].row_index == 0
     with pytest.raises(ValueError):
         tables.read_labels(spark, str(stored / "labels"), "nothing")
 
@@ -108,7 +112,7 @@ def test_stages(spark, stored, tmp_path, by_label):
     if by_label:
         run.cache_task()
         assert spark.read.parquet(run.labels_path).where("event_id < 0").count() == 0
-        assert 0.0 <= run.model() <= 1.0
+        assert 0.0 <= run.model() <= 1.0 and 0.0 <= run.model("knn", k=3) <= 1.0
         assert run.sweep(trials=3, keep=1) == next(p.name for p in (tmp_path / "out" / "sweep").iterdir() if p.is_dir() and len(p.name) == 16)
         assert spark.read.parquet(str(tmp_path / "out" / "sweep" / "sweep_results_summary.parquet")).count() == 3
         place = next((tmp_path / "out" / "models").iterdir())
@@ -169,7 +173,7 @@ def test_prepared_matrix(spark, stored, tmp_path):
     got = vectors("imputer=mean", "scaler=standard")
     assert all(v == pytest.approx((filled.loc[k] / spread).to_numpy(), rel=1e-6) for k, (_, v) in got.items())
     assert max(abs(v).max() for s, v in vectors("scaler=max_abs").values() if s == "train") == pytest.approx(1.0)
-    assert run.sweep(trials=1, keep=1)
+    assert run.sweep(trials=5, keep=1)
     for split in ("tuning", "held_out"):
         assert spark.read.parquet(str(tmp_path / "out" / "sweep" / "best_trial" / f"{split}_predictions")).schema == PREDICTIONS
     with pytest.raises(ValueError):
