@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.linalg import SparseVector, VectorUDT
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.functions.names import column_name, split_name
 from tallyloom.schema import STATIC_AGGS, kind_of
@@ -50,13 +53,22 @@ def indexed_cells(features: DataFrame, columns: Sequence[tuple]) -> DataFrame:
 def sparse_vectors(rows: DataFrame, features: DataFrame, columns: Sequence[tuple], keys: Sequence[str] = ("subject_id", "time")) -> DataFrame:
     """Each row of ``rows`` with a sparse vector ``features``; rows without cells get an empty one.
 
-    Cells of a row are sorted in the engine; Python only wraps the finished lists.
+    Cells of a row are sorted in the engine; the finished lists are wrapped as vectors in Arrow
+    batches, without a look at any of them.
     """
     keys = list(keys)
     cells = indexed_cells(features, columns).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("_cells"))
-    width = len(columns)
-    wrap = F.udf(lambda i, v: SparseVector(width, i or [], v or []), VectorUDT())
-    return rows.join(cells, keys, "left").withColumn("features", wrap(F.col("_cells.idx"), F.col("_cells.value"))).drop("_cells")
+    width, kept = len(columns), len(rows.columns)
+    lists = [F.coalesce(F.col(f"_cells.{c}"), F.array().cast(f"array<{t}>")).alias(f"_{c}") for c, t in (("idx", "int"), ("value", "double"))]
+    joined = rows.join(cells, keys, "left").select(*[F.col(f"`{c}`") for c in rows.columns], *lists)
+
+    def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind, size = pa.array(np.zeros(b.num_rows, dtype=np.int8)), pa.array(np.full(b.num_rows, width, dtype=np.int32))
+            vector = pa.StructArray.from_arrays([kind, size, b.column(kept), b.column(kept + 1)], ["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], vector], names=[*b.schema.names[:kept], "features"])
+
+    return joined.mapInArrow(wrap, T.StructType([*rows.schema.fields, T.StructField("features", VectorUDT())]))
 
 
 def dense_columns(rows: DataFrame, features: DataFrame, columns: Sequence[tuple], keys: Sequence[str] = ("subject_id", "time")) -> DataFrame:

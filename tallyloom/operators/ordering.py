@@ -35,13 +35,19 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     return running_total(df, order, F.lit(1).cast("long"), name).withColumn(name, F.col(name) - 1)
 
 
-def assert_sorted(df: DataFrame, partition: str, order: Sequence[str]) -> None:
-    """ValueError unless ``order`` has no null and never falls within files read in their order of rows."""
-    nulls = df.where(" or ".join(f"{c} is null" for c in order)).limit(1).count()
-    if nulls:
+def assert_sorted(df: DataFrame, order: Sequence[str]) -> None:
+    """ValueError unless ``order`` has no null and never falls from one row of ``df`` to the next, in and between partitions.
+
+    Rows are compared where they lie; of each partition its first and last row go on, to be
+    compared with those of its neighbours.
+    """
+    if not df.where(" or ".join(f"`{c}` is null" for c in order)).isEmpty():
         raise ValueError("null in the order")
-    at = Window.partitionBy(F.spark_partition_id()).orderBy("_i")
-    struct = F.struct(*order)
-    rows = df.withColumn("_i", F.monotonically_increasing_id())
-    if rows.withColumn("_b", F.lag(struct).over(at)).where(F.col("_b") > struct).limit(1).count():
+    rows = df.select(F.struct(*order).alias("_o"), F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"))
+    at = Window.partitionBy("_p").orderBy("_i")
+    falls = rows.withColumn("_b", F.lag("_o").over(at)).groupBy("_p").agg(
+        F.bool_or(F.coalesce(F.col("_b") > F.col("_o"), F.lit(False))).alias("_f"), F.min_by("_o", "_i").alias("_first"), F.max_by("_o", "_i").alias("_last")
+    )
+    between = F.lag("_last").over(Window.orderBy("_p")) > F.col("_first")
+    if not falls.withColumn("_x", between).where("_f or _x").isEmpty():
         raise ValueError(f"not sorted by {', '.join(order)}")

@@ -194,13 +194,16 @@ def window_bounds(index: DataFrame, window: str) -> DataFrame:
     """The rows of each window as half-open numbers of the subject's index rows: min_index, max_index.
 
     Numbers run from 0 within each subject, in order of time; the window includes its own row.
+    Rows without subject or time are left out. Both ends are counts of earlier rows, made by
+    (subject, year), so that no subject is sorted in one task.
     """
     size = parse_window(window)
-    rows = index.select("subject_id", "time").distinct().withColumn("_us", micros(F.col("time")))
-    subject = Window.partitionBy("subject_id").orderBy("_us")
-    frame = subject.rangeBetween(Window.unboundedPreceding if size is None else -(size - 1), Window.currentRow)
-    numbered = rows.withColumn("_i", F.row_number().over(subject).cast("long") - 1)
-    return numbered.select("subject_id", "time", F.min("_i").over(frame).alias("min_index"), (F.max("_i").over(frame) + 1).alias("max_index"))
+    rows = index.select("subject_id", "time").where("subject_id is not null and time is not null").distinct()
+    out = count_until(rows.withColumn("_at", F.col("time")), rows, "_at", "max_index")
+    if size is None:
+        return out.select("subject_id", "time", F.lit(0).cast("long").alias("min_index"), "max_index")
+    before = out.withColumn("_at", F.timestamp_add("MICROSECOND", F.lit(-size).cast("long"), F.col("time")))
+    return count_until(before, rows, "_at", "min_index").select("subject_id", "time", "min_index", "max_index")
 
 
 def melt(features: DataFrame, aggs: Sequence[str] = ROLLING_AGGS) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import partial
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from tallyloom.operators.ordering import number_rows
 from tallyloom.plans.tabular_sql import SQL  # noqa: F401
 from tallyloom.schema import ROLLING_AGGS
 from tallyloom.sources import tables
+from tallyloom.workspace import staged
 
 WINDOWS = ("2h", "12h", "1d", "7d", "30d", "365d", "full")
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -183,10 +185,10 @@ def feature_columns(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(i, name) for i, *_, name in listed], "idx long, name string")
 
 
-def _label_cells(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _label_cells(spark: SparkSession, folder: str, windows: Sequence[str] = ("7d", "full"), aggs: Sequence[str] = AGGS) -> tuple[DataFrame, DataFrame]:
     """Labels and the long feature table of their rows."""
     labels = tables.labels_of_events(spark, folder)
-    cells = rolling.melt(task.label_features(labels, _events(spark, folder), ["7d", "full"], AGGS, scale=2, anchor="label"), AGGS)
+    cells = rolling.melt(task.label_features(labels, _events(spark, folder), windows, aggs, scale=2, anchor="label"), aggs)
     return labels, cells
 
 
@@ -205,14 +207,13 @@ def _scaled(spark: SparkSession, folder: str, how: str) -> DataFrame:
 
 
 def _imputed(spark: SparkSession, folder: str, strategy: str) -> DataFrame:
-    labels, cells = _label_cells(spark, folder)
-    cells = cells.where("window = '7d'")
+    labels, cells = _label_cells(spark, folder, ["7d"])
     return prep.impute(labels, cells, strategy).withColumn("value", F.round("value", 6))
 
 
 def auc_exact(spark: SparkSession, folder: str) -> DataFrame:
-    labels, cells = _label_cells(spark, folder)
-    totals = cells.where("window = '7d' and agg = 'code/count'").groupBy("subject_id", "time").agg(F.sum("value").alias("score"))
+    labels, cells = _label_cells(spark, folder, ["7d"], ["code/count"])
+    totals = cells.groupBy("subject_id", "time").agg(F.sum("value").alias("score"))
     scores = labels.join(totals, ["subject_id", "time"], "left").select("label", F.coalesce("score", F.lit(0.0)).alias("score"))
     return metrics.auc(scores).withColumn("auc", F.round("auc", 9))
 
@@ -243,16 +244,23 @@ def sparse_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("subject_id", "time", "split", "label", F.expr("cast(features as string)").alias("features"))
 
 
+def sparse_vector_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """What the vectors hold, as rows: the place of each column in them, and its value."""
+    rows, _ = _matrix(spark, folder)
+    cells = rows.select("subject_id", "time", F.posexplode(vector_to_array("features")).alias("idx", "value"))
+    return cells.where("value <> 0").withColumn("value", F.round("value", 6))
+
+
 def _model(spark: SparkSession, folder: str, name: str) -> DataFrame:
     rows, _ = _matrix(spark, folder)
-    rows = rows.cache()
+    rows = staged(rows, "matrix")
     model = models.SparkTabularModel(name)
     model.train(rows.where("split = 'train'"), rows.where("split = 'tuning'"))
     return models.predictions(model.scores(rows.where("split = 'held_out'")))
 
 
 def knn_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    labels, cells = _label_cells(spark, folder)
+    labels, cells = _label_cells(spark, folder, ["7d"], ["code/count"])
     names = features.selected_names(describe.code_frequencies(_events(spark, folder)))
     columns = assemble.column_table(names, ["7d"], ["code/count"])
     rows = assemble.dense_columns(number_rows(labels, ["subject_id", "time"], "row"), cells, columns)
@@ -316,6 +324,7 @@ QUERIES = {
     "task_labels_repeat_purchase": partial(_task, name="repeat_purchase"),
     "task_labels_next_visit": partial(_task, name="next_visit"),
     "sparse_vectors": sparse_vectors,
+    "sparse_vector_cells": sparse_vector_cells,
     "model_logreg_predictions": partial(_model, name="logistic_regression"),
     "model_sgd_predictions": partial(_model, name="sgd"),
     "model_rf_predictions": partial(_model, name="random_forest"),

@@ -150,8 +150,10 @@ SELECT row_number() OVER (ORDER BY path, feature) - 1 AS idx, name FROM n""",
     "feature_label_correlation": f'WITH {_CORR} SELECT "window", agg, code, round(r, 6) AS r FROM r',
     "select_min_correlation": f"WITH {_CORR} SELECT code FROM r GROUP BY 1 HAVING max(abs(r)) > 0.05",
     "select_max_by_correlation": f"WITH {_CORR} SELECT code FROM r GROUP BY 1 ORDER BY max(abs(r)) DESC, code LIMIT 2",
-    "scale_standard": f"""WITH {_CELLS}, n AS (SELECT count(*) AS n FROM l),
-s AS (SELECT "window", agg, code, sqrt(greatest(sum(value * value) / any_value(n) - (sum(value) / any_value(n)) * (sum(value) / any_value(n)), 0)) AS d FROM c, n GROUP BY 1, 2, 3)
+    "scale_standard": f"""WITH {_CELLS.replace("c AS (", "c AS MATERIALIZED (").replace("l AS (", "l AS MATERIALIZED (")},
+q AS (SELECT "window", agg, code, sum(value * value) AS q, sum(value) AS m FROM c GROUP BY 1, 2, 3),
+n AS MATERIALIZED (SELECT CAST(count(*) AS DOUBLE) AS n FROM l),
+s AS (SELECT "window", agg, code, sqrt(greatest(q / (SELECT n FROM n) - (m / (SELECT n FROM n)) * (m / (SELECT n FROM n)), 0)) AS d FROM q)
 SELECT subject_id, time, "window", agg, code, round(value / CASE WHEN d > 0 THEN d ELSE 1 END, 6) AS value FROM c JOIN s USING ("window", agg, code)""",
     "scale_max_abs": f"""WITH {_CELLS}, s AS (SELECT "window", agg, code, max(abs(value)) AS d FROM c GROUP BY 1, 2, 3)
 SELECT subject_id, time, "window", agg, code, round(value / CASE WHEN d > 0 THEN d ELSE 1 END, 6) AS value FROM c JOIN s USING ("window", agg, code)""",
@@ -163,6 +165,10 @@ x AS (SELECT label AS y, coalesce(s, 0) AS s FROM l LEFT JOIN t USING (subject_i
 g AS (SELECT s, sum(y) AS p, count(*) - sum(y) AS n FROM x GROUP BY 1),
 k AS (SELECT *, sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS below FROM g)
 SELECT round(coalesce(CAST(sum(p * (below + 0.5 * n)) AS DOUBLE) / nullif(CAST(sum(p) * sum(n) AS DOUBLE), 0), 0), 9) AS auc FROM k""",
+    "sparse_vector_cells": f"""WITH {_CELLS}, {_F},
+b AS (SELECT * FROM (VALUES ('7d', 'code/count'), ('full', 'code/count'), ('7d', 'value/sum'), ('full', 'value/sum')) AS t(w, agg)),
+k AS (SELECT w, agg, regexp_replace(f.code, '/(code|value)$', '') AS code, row_number() OVER (ORDER BY w || '/' || agg, f.code) - 1 AS idx FROM b JOIN f ON f.code LIKE '%/' || split_part(agg, '/', 1))
+SELECT subject_id, time, CAST(idx AS INTEGER) AS idx, round(value, 6) AS value FROM c JOIN k ON k.w = c."window" AND k.agg = c.agg AND k.code = c.code WHERE value <> 0""",
     "rank_trials_top_k": "SELECT s_name AS trial_name, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS tuning_auc, s_acctbal AS test_auc FROM supplier ORDER BY tuning_auc DESC NULLS LAST, trial_name LIMIT 10",
     "non_empty_subsets": """WITH r AS (SELECT list(r_name ORDER BY r_name) AS x FROM region), b AS (SELECT unnest(range(1, CAST(2 ** len(x) AS BIGINT))) AS m, x FROM r)
 SELECT array_to_string(list_filter(x, lambda v, k: (m >> (k - 1)) & 1 = 1), ',') AS subset FROM b""",

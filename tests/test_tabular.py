@@ -4,9 +4,11 @@ import itertools
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import types as SparkT
 
 from tallyloom.functions import names
-from tallyloom.operators import asof, assemble, describe, features, metrics, neighbours, ordering, prep, rolling, selection, static, subsets, sweep, task, tasks
+from tallyloom.operators import asof, assemble, describe, features, metrics, models, neighbours, ordering, prep, rolling, selection, static, subsets, sweep, task, tasks
 from tallyloom.schema import OBSERVATIONS, TabConfig, conform, kind_of, parse_window
 
 OBS = "subject_id long, time timestamp_ntz, code string, numeric_value double"
@@ -27,15 +29,17 @@ def rows_of(df, *columns):
 
 
 def test_names():
-    assert [names.split_name(f"A/{k}")[0] for k in ("code", "value", "static/present", "static/first")] == ["A"] * 4
-    with pytest.raises(ValueError):
-        names.split_name("A")
-    assert [names.without_last_part(x) for x in ("A/code/count", "A/B/code/count", "invalid_name")] == ["A/code", "A/B/code", ""]
-    assert names.parse_static("A/B/static/first") == ("A/B", "static", "first")
+    for kind in ("code", "value", "static/present", "static/first"):
+        assert names.split_name(f"SOIL//PH.5/{kind}") == ("SOIL//PH.5", kind)
+    for bad in ("SOIL", "static/present"):
+        with pytest.raises(ValueError):
+            names.split_name(bad)
+    assert names.without_last_part("SOIL//PH.5/value/sum") == "SOIL//PH.5/value" and names.without_last_part("SOIL") == ""
+    assert names.parse_static("SOIL//PH.5/static/present") == ("SOIL//PH.5", "static", "present")
     with pytest.raises(ValueError):
-        names.parse_static("static/first")
-    assert names.column_name("A/B/value", "value/sum", "7d") == "A/B/value/sum/7d"
-    assert names.column_name("A/static/present", "static/present", None) == "A/static/present"
+        names.parse_static("static/present")
+    assert names.column_name("SOIL//PH.5/value", "value/max", "12h") == "SOIL//PH.5/value/max/12h"
+    assert names.column_name("SOIL//PH.5/static/first", "static/first", None) == "SOIL//PH.5/static/first"
 
 
 def test_name_columns(spark):
@@ -81,44 +85,53 @@ def test_describe(spark):
 
 
 def test_selection(spark):
-    freq = describe.from_dict(spark, {"E": 4, "D": 3, "A": 2})
+    freq = describe.from_dict(spark, {"RAIN/code": 50, "WIND/code": 30, "WIND/value": 15, "FOG/code": 5})
     select = lambda **k: features.selected_names(features.select_features(freq, **k))
-    assert select(allowed=["A", "D"], min_count=3) == ["D"]
-    assert select(min_frequency=0.35) == ["E"]
-    assert select(max_features=1) == ["E"]
-    # The share is taken of what the allowed list leaves.
-    assert select(allowed=["A", "D"], min_frequency=0.5) == ["D"]
-    with pytest.raises(ValueError):
-        select(allowed=["A", "D"], min_count=10)
-    with pytest.raises(ValueError):
-        select(min_frequency=1.5)
-    tied = describe.from_dict(spark, {"B": 1, "A": 1, "C": 1})
-    assert features.selected_names(features.select_features(tied, max_features=2)) == ["A", "B"]
-    assert rows_of(features.feature_index(freq)) == [("A", 0), ("D", 1), ("E", 2)]
+    assert select() == ["FOG/code", "RAIN/code", "WIND/code", "WIND/value"]
+    assert select(allowed=["FOG/code", "WIND/value", "HAIL/code"]) == ["FOG/code", "WIND/value"]
+    assert select(min_count=15) == ["RAIN/code", "WIND/code", "WIND/value"] and select(max_features=2) == ["RAIN/code", "WIND/code"]
+    assert select(min_frequency=0.3) == ["RAIN/code", "WIND/code"] and select(min_frequency=0.31) == ["RAIN/code"]
+    # The share is taken of what the allowed list leaves: 15 of 20.
+    assert select(allowed=["FOG/code", "WIND/value"], min_frequency=0.7) == ["WIND/value"]
+    for bad in ({"allowed": ["HAIL/code"]}, {"min_count": 51}, {"min_frequency": 1.5}):
+        with pytest.raises(ValueError):
+            select(**bad)
+    tied = describe.from_dict(spark, {f"{c}/code": 9 for c in "ZKQ"})
+    assert features.selected_names(features.select_features(tied, max_features=2)) == ["K/code", "Q/code"]
+    assert [c for c, _ in rows_of(features.feature_index(freq))] == select() and [n for _, n in rows_of(features.feature_index(freq))] == [0, 1, 2, 3]
 
 
 def test_rare(spark):
-    rows = [(1, None, "A", 1.0), (1, T, "A", 2.0), (1, None, "D", 3.0), (1, T, "D", 4.0), (1, T, "E", 5.0), (1, T, "F", 6.0), (1, T, None, 7.0)]
-    allowed = describe.from_dict(spark, {"A/code": 1, "D/static/present": 1, "E/code": 1, "E/value": 1, "F/value": 1})
-    assert rows_of(features.drop_rare(obs(spark, rows), allowed)) == rows_of(obs(spark, [(1, T, "A", None), (1, None, "D", None), (1, T, "E", 5.0)]))
-    kept = features.events_of(obs(spark, rows), allowed)
-    assert [r[0] for r in rows_of(kept, "code")] == ["A", "E", "F"]
-    assert rows_of(features.event_index(kept)) == [(1, T)]
+    """Every kind of feature that may be selected of a code, against each kind of row: kept with its value, kept without, or dropped."""
+    kinds, rows, want = ("code", "value", "static/present", "static/first"), [], []
+    listed = {}
+    for n in range(16):
+        code = f"GAUGE//{n}"
+        has = {k for i, k in enumerate(kinds) if n >> i & 1}
+        listed |= {f"{code}/{k}": 1 for k in has}
+        for time, row, value in ((T, "code", "value"), (None, "static/present", "static/first")):
+            rows.append((n, time, code, n + 0.5))
+            if row in has:
+                want.append((n, time, code, n + 0.5 if value in has else None))
+    assert rows_of(features.drop_rare(obs(spark, [*rows, (1, T, None, 7.0)]), describe.from_dict(spark, listed))) == rows_of(obs(spark, want))
+    kept = features.events_of(obs(spark, rows), describe.from_dict(spark, {"GAUGE//3/code": 1, "GAUGE//4/value": 1, "GAUGE//5/static/first": 1}))
+    assert rows_of(kept, "code") == [("GAUGE//3",), ("GAUGE//4",)]
+    assert rows_of(features.event_index(kept)) == [(3, T), (4, T)]
 
 
 # -- statics -----------------------------------------------------------------------------------
 
 
 def test_static(spark):
-    rows = [(1, None, "A", 1.0), (1, None, "B", 2.0), (1, None, "B", 3.0), (2, None, "A", 3.0), (2, None, "C", None), (3, T, "A", 9.0)]
+    rows = [(7, None, "DEPTH", 10.0), (7, None, "DEPTH", None), (7, None, "DEPTH", 16.0), (7, None, "SALT//LOW", None), (8, None, "DEPTH", None), (8, T, "DEPTH", 99.0), (9, None, "SALT//LOW", 0.0)]
     o = obs(spark, rows)
-    assert rows_of(static.static_first(o)) == [(1, "A", 1.0), (1, "B", 2.5), (2, "A", 3.0)]
-    assert rows_of(static.static_present(o)) == [(1, "A", True), (1, "B", True), (2, "A", True), (2, "C", True)]
-    wide = static.static_wide(o, ["A", "B", "Z"], ["C"])
-    assert wide.columns == ["subject_id", "A/static/first", "B/static/first", "Z/static/first", "C/static/present"]
-    assert rows_of(wide) == [(1, 1.0, 2.5, None, False), (2, 3.0, None, None, True)]
-    index = spark.createDataFrame([(1, T), (1, T + D), (3, T)], "subject_id long, time timestamp_ntz")
-    assert rows_of(static.replicate_static(index, wide), "subject_id", "`A/static/first`") == [(1, 1.0), (1, 1.0), (3, None)]
+    assert rows_of(static.static_first(o)) == [(7, "DEPTH", 13.0), (9, "SALT//LOW", 0.0)]
+    assert rows_of(static.static_present(o)) == [(7, "DEPTH", True), (7, "SALT//LOW", True), (8, "DEPTH", True), (9, "SALT//LOW", True)]
+    wide = static.static_wide(o, ["SALT//LOW", "DEPTH", "ICE"], ["DEPTH"])
+    assert wide.columns == ["subject_id", "SALT//LOW/static/first", "DEPTH/static/first", "ICE/static/first", "DEPTH/static/present"]
+    assert rows_of(wide) == [(7, None, 13.0, None, True), (8, None, None, None, True), (9, 0.0, None, None, False)]
+    index = spark.createDataFrame([(7, T), (7, T + H), (6, T)], "subject_id long, time timestamp_ntz")
+    assert rows_of(static.replicate_static(index, wide), "subject_id", "`DEPTH/static/first`") == [(6, None), (7, 13.0), (7, 13.0)]
     with pytest.raises(ValueError):
         static.static_wide(o)
 
@@ -157,15 +170,16 @@ def test_two_plans_and_a_naive_one_agree(spark, rows):
     assert rolled(rolling.rolling_by_spine(table, o, windows, scale=1)) == expected
 
 
-def test_boundaries_and_documented_values(spark):
-    # An event exactly a window's length before is outside; one at the row's own time is inside.
-    o = obs(spark, [(1, T, "A", 5.0), (1, T + 7 * D, "A", None), (1, T + 7 * D, "A", 3.0)])
-    got = rolled(rolling.rolling_features(features.event_index(o), o, ["7d"]))
-    assert got[1, T + 7 * D, "A", "7d"] == (2, 1, 3.0, 9.0, 3.0, 3.0)
-    hr = obs(spark, [(1, T, "HR", 80.0), (1, T, "HR", None), (1, T + D, "HR", 78.0), (1, T + D, "HR", 90.0)])
-    assert rolled(rolling.rolling_features(features.event_index(hr), hr))[1, T + D, "HR", "full"][:2] == (4, 3)
-    bp = obs(spark, [(1, T, "BP", 120.0), (1, T, "BP", 125.0)])
-    assert rolled(rolling.rolling_features(features.event_index(bp), bp, ["1d"]))[1, T, "BP", "1d"][3] == 30025.0
+def test_edges_of_a_window(spark):
+    """A window holds its own time and not the one a whole length before it; rows of one time are all in it, with and without values."""
+    us = dt.timedelta(microseconds=1)
+    ticks = [(4, T, "TICK", 1.0), (4, T + us, "TICK", 10.0), (4, T + 5 * H, "TICK", None), (4, T + 5 * H, "TICK", -4.0), (4, T + 5 * H + us, "TICK", 100.0)]
+    o = obs(spark, ticks)
+    got = {t: v for (_, t, _, _), v in rolled(rolling.rolling_features(features.event_index(o), o, ["5h"])).items()}
+    assert got == {
+        T: (1, 1, 1.0, 1.0, 1.0, 1.0), T + us: (2, 2, 11.0, 101.0, 1.0, 10.0),
+        T + 5 * H: (3, 2, 6.0, 116.0, -4.0, 10.0), T + 5 * H + us: (3, 2, 96.0, 10016.0, -4.0, 100.0),
+    }
 
 
 def test_rows_off_the_events(spark):
@@ -185,10 +199,13 @@ def test_rolling_arguments(spark):
 
 
 def test_bounds(spark):
-    days = [2, 6, 11, 16, 21, 26]
-    index = spark.createDataFrame([(1, dt.datetime(2021, 1, d)) for d in days], "subject_id long, time timestamp_ntz")
-    got = rolling.window_bounds(index, "7d").orderBy("time").select("min_index", "max_index").collect()
-    assert [tuple(r) for r in got] == [(0, 1), (0, 2), (1, 3), (2, 4), (3, 5), (4, 6)]
+    """Against a count by hand, over several years, so that windows reach into chunks before."""
+    hours = sorted({h * h * 3 % 30_000 for h in range(60)})
+    times = {1: [T + h * H for h in hours], 2: [T, T + 10 * H]}
+    index = spark.createDataFrame([(s, t) for s, ts in times.items() for t in ts] + [(None, T), (1, None)], "subject_id long, time timestamp_ntz")
+    for window, size in (("10h", 10 * H), ("90d", 90 * D), ("full", None)):
+        got = {(r.subject_id, r.time): (r.min_index, r.max_index) for r in rolling.window_bounds(index, window).collect()}
+        assert got == {(s, t): (sum(1 for u in ts if size and u <= t - size), sum(1 for u in ts if u <= t)) for s, ts in times.items() for t in ts}
     assert rolling.window_bounds(index.limit(0), "7d").count() == 0
 
 
@@ -263,9 +280,14 @@ def test_numbers_and_totals(spark):
     got = ordering.number_rows(df, ["a"], "n").collect()
     assert all(r.a == r.n for r in got)
     assert ordering.number_rows(df.limit(0), ["a"], "n").count() == 0
-    ordering.assert_sorted(spark.range(10), "id", ["id"])
-    with pytest.raises(ValueError):
-        ordering.assert_sorted(df.coalesce(1), "a", ["a"])
+    ordering.assert_sorted(spark.range(10), ["id"])
+    ordering.assert_sorted(spark.range(0, 40, 1, 7), ["id"])
+    ordering.assert_sorted(spark.range(0), ["id"])
+    for bad in (df.coalesce(1), spark.range(0, 4, 1, 1).union(spark.range(2, 6, 1, 1)).toDF("a"), spark.range(3).selectExpr("nullif(id, 1) as a")):
+        with pytest.raises(ValueError):
+            ordering.assert_sorted(bad, ["a"])
+    with pytest.raises(ValueError):  # each partition is sorted, the fall lies between two, and one between them is empty
+        ordering.assert_sorted(spark.range(5, 9, 1, 1).union(spark.range(0, 0, 1, 1)).union(spark.range(0, 4, 1, 1)), ["id"])
 
 
 def test_auc(spark):
@@ -331,16 +353,41 @@ def test_neighbours(spark, weights, p):
         assert got[key] == pytest.approx(want)
 
 
+def test_neighbours_as_a_model(spark, tmp_path):
+    rows = [(i, T, i % 2, Vectors.sparse(3, {0: float(i % 2), 1: i / 40})) for i in range(30)] + [(90, T, None, Vectors.sparse(3, {}))]
+    kinds = spark.createDataFrame([], "subject_id long, time timestamp_ntz, label int").schema
+    data = spark.createDataFrame(rows, SparkT.StructType([*kinds, SparkT.StructField("features", VectorUDT())]))
+    model = models.make_model("knn", k=3)
+    with pytest.raises(ValueError):
+        model.scores(data)
+    model.train(data)
+    scored = {r.subject_id: r.score for r in model.scores(data).collect()}
+    assert scored.keys() == {*range(30), 90} and all(scored[i] == i % 2 for i in range(30)) and model.evaluate(data) == 1.0
+    model.save(str(tmp_path / "knn"))
+    again = models.NeighbourModel.load(spark, str(tmp_path / "knn"))
+    assert again.params == model.params and {r.subject_id: r.score for r in again.scores(data).collect()} == scored
+    with pytest.raises(ValueError):
+        models.make_model("oracle")
+
+
 def test_subsets():
-    assert subsets.as_choices(subsets.non_empty_subsets(["2", "3", "4"])) == "[2],[2,3],[2,3,4],[2,4],[3],[3,4],[4]"
+    found = subsets.non_empty_subsets(["1d", "30d", "full"])
+    assert len(found) == 7 and len({tuple(x) for x in found}) == 7 and found == sorted(found)
+    assert subsets.as_choices([["1d"], ["1d", "full"]]) == "[1d],[1d,full]"
 
 
 def test_sweep(spark, tmp_path):
     trials = sweep.sample_trials({"a": [1, 2, 3], "b": (0.0, 1.0), "c": (1, 9), "d": "x"}, 4, seed=5)
     assert trials == sweep.sample_trials({"a": [1, 2, 3], "b": (0.0, 1.0), "c": (1, 9), "d": "x"}, 4, seed=5)
+    drawn = [t["x"] for t in sweep.sample_trials({"x": ("log", 1e-4, 1.0)}, 400, seed=1)]
+    assert 0.4 < sum(x < 0.01 for x in drawn) / 400 < 0.6 and all(1e-4 <= x <= 1 for x in drawn)
+    assert all(isinstance(t["x"], int) for t in sweep.sample_trials({"x": ("log", 1, 1000)}, 5, seed=1))
     aucs = iter([0.7, 0.9, 0.8, 0.6])
-    sweep.run_sweep(trials, lambda params, place: (next(aucs), 0.5), str(tmp_path), threads=1)
+    # A URI, as of a shared file system; the first trial is drawn twice.
+    sweep.run_sweep(spark, [*trials, trials[0]], lambda params, place: (next(aucs), 0.5), f"file:{tmp_path}", threads=1)
     (tmp_path / "notes").mkdir()
-    best = sweep.finish_sweep(spark, str(tmp_path), 2)
+    best = sweep.finish_sweep(spark, f"file:{tmp_path}", 2)
+    assert (tmp_path / "best_trial" / "config.json").read_text() == (tmp_path / best / "config.json").read_text()
+    assert sweep.finish_sweep(spark, f"file:{tmp_path}", 2) == best
     left = {p.name for p in tmp_path.iterdir() if p.is_dir() and not p.name.endswith(".parquet")}
     assert best == sweep.trial_name(trials[1]) and left == {best, sweep.trial_name(trials[2]), "notes", "best_trial"}
