@@ -4,7 +4,9 @@ The window of size W that ends at t holds the events in (t - W, t]. Events of a
 share a time and code are first merged to one *partial* (count, value count, sum, sum of squares,
 least, greatest); all six aggregations of all windows are then made from partials in one pass.
 
-What a code's windows hold changes only where an event comes in or, W later, goes out. So the
+A subject with a short history has its index rows joined with its partials: no row meets more
+than a few hundred, and everything of a subject is done where it lies. Where histories are long,
+that would be quadratic. There, what a code's windows hold changes only where an event comes in or, W later, goes out. So the
 aggregations are computed at these *points* alone, by RANGE frames, and hold until the next one.
 Points are placed among the subject's index rows by their number; a stretch of rows is written
 out from blocks of index times at the very end. Nothing of the size of the result is ever
@@ -12,7 +14,8 @@ shuffled or sorted.
 
 Points are sorted within (subject, code, chunk of time), with the partials of the chunk before
 as context, and what is older comes from one row per chunk: a subject, or a subject's code, with
-a third of all rows is spread over its chunks.
+a third of all rows is spread over its chunks. Which subjects are short is counted first; both ways
+give the same rows.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ _PARTS = {
 
 
 _MERGES = {"n": F.sum, "nv": F.sum, "s": F.sum, "ss": F.sum, "lo": F.min, "hi": F.max}
+#: Histories of at most so many rows are short.
+_SHORT = 256
 #: Index times are kept in blocks of so many rows of a subject.
 _BLOCK = 1024
 #: Points are sorted in chunks of time as long as the longest bounded window, but no shorter than a year.
@@ -152,10 +157,37 @@ def rolling_features(
         check_rolling(a)
     if not aggs or not windows:
         raise ValueError("no window or aggregation asked for")
-    # Both are read by several branches of the plan, so what they come from runs once.
-    index = staged(index.select("subject_id", "time").where("subject_id is not null and time is not null").distinct(), "index")
-    partials = staged(collapse_same_time(events, scale) if partials is None else partials, "partials")
     sizes = {w: parse_window(w) for w in windows}
+    index = index.select("subject_id", "time").where("subject_id is not null and time is not null").distinct()
+    counted = (events if partials is None else partials).groupBy("subject_id").agg(F.count("*").alias("_rows"))
+    long = staged(counted.where(F.col("_rows") > _SHORT).select("subject_id"), "long")
+    partials = collapse_same_time(events, scale) if partials is None else partials
+    if long.isEmpty():
+        return _by_pairs(index, partials, sizes, aggs)
+    # Both are read by several branches of the plan, so what they come from runs once.
+    index, partials = staged(index, "index"), staged(partials, "partials")
+    short, rest = ([side.join(long, "subject_id", how) for side in (index, partials)] for how in ("left_anti", "left_semi"))
+    return _by_pairs(*short, sizes, aggs).unionByName(_by_points(*rest, sizes, aggs))
+
+
+def _by_pairs(index: DataFrame, partials: DataFrame, sizes: dict[str, int | None], aggs: Sequence[str]) -> DataFrame:
+    """Short histories: each index row against its subject's partials, at most ``_SHORT``, all windows in one aggregation."""
+    need = {"n": F.sum, **{_PARTS[a][1]: _PARTS[a][2] for a in aggs}}
+    at, us = micros(F.col("_at")), micros(F.col("time"))
+    pairs = index.withColumnRenamed("time", "_at").join(partials, "subject_id").where("time <= _at").withColumn("_age", at - us)
+    if all(sizes.values()):
+        pairs = pairs.where(F.col("_age") < max(sizes.values()))
+    merged = [
+        merge(F.col(p) if size is None else F.when(F.col("_age") < size, F.col(p))).alias(f"{w}|{p}") for w, size in sizes.items() for p, merge in need.items()
+    ]
+    rows = pairs.groupBy("subject_id", "_at", "code").agg(*merged)
+    cells = [F.struct(F.lit(w).alias("window"), F.col(f"`{w}|n`").alias("_n"), *[F.col(f"`{w}|{_PARTS[a][1]}`").alias(_PARTS[a][0]) for a in aggs]) for w in sizes]
+    rows = rows.select("subject_id", F.col("_at").alias("time"), "code", F.explode(F.array(*cells)).alias("_w")).where("_w._n > 0")
+    return rows.select("subject_id", "time", "code", "_w.*").select("subject_id", "time", "code", "window", *_outputs(aggs))
+
+
+def _by_points(index: DataFrame, partials: DataFrame, sizes: dict[str, int | None], aggs: Sequence[str]) -> DataFrame:
+    """Long histories, by points of change."""
     held = _held(partials, index, sizes, aggs)
     first, last = stretch_number(F.col("_row"), _BLOCK), stretch_number(F.col("_end") - 1, _BLOCK)
     placed = held.withColumn("_block", F.explode(F.sequence(first, last))).join(_times(index), ["subject_id", "_block"])

@@ -1,5 +1,6 @@
 import datetime as dt
 import itertools
+from unittest import mock
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -160,18 +161,22 @@ EVENT = st.tuples(st.sampled_from([1, 2]), st.one_of(st.none(), st.integers(-200
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(EVENT, min_size=1, max_size=25))
-def test_two_plans_and_a_naive_one_agree(spark, rows):
+def test_all_plans_and_a_naive_one_agree(spark, rows):
     windows = ["6h", "7d", "full"]
     o = obs(spark, rows)
     index = [(r[0], r[1]) for r in rows if r[1] is not None]
     table = features.event_index(o)
     expected = naive(index, rows, windows)
-    assert rolled(rolling.rolling_features(table, o, windows, scale=1)) == expected
+    for short in (256, 4, 0):  # all histories are short, some are, none is
+        with mock.patch.object(rolling, "_SHORT", short):
+            assert rolled(rolling.rolling_features(table, o, windows, scale=1)) == expected
     assert rolled(rolling.rolling_by_spine(table, o, windows, scale=1)) == expected
 
 
-def test_edges_of_a_window(spark):
+@pytest.mark.parametrize("short", [256, 0])
+def test_edges_of_a_window(spark, monkeypatch, short):
     """A window holds its own time and not the one a whole length before it; rows of one time are all in it, with and without values."""
+    monkeypatch.setattr(rolling, "_SHORT", short)
     us = dt.timedelta(microseconds=1)
     ticks = [(4, T, "TICK", 1.0), (4, T + us, "TICK", 10.0), (4, T + 5 * H, "TICK", None), (4, T + 5 * H, "TICK", -4.0), (4, T + 5 * H + us, "TICK", 100.0)]
     o = obs(spark, ticks)
@@ -182,14 +187,18 @@ def test_edges_of_a_window(spark):
     }
 
 
-def test_rows_off_the_events(spark):
+@pytest.mark.parametrize("short", [256, 0])
+def test_rows_off_the_events(spark, monkeypatch, short):
+    monkeypatch.setattr(rolling, "_SHORT", short)
     o = obs(spark, [(1, T, "A", 1.0), (1, T + 2 * D, "A", 2.0)])
     index = spark.createDataFrame([(1, T - D), (1, T + D), (1, T + 30 * D), (2, T)], "subject_id long, time timestamp_ntz")
     got = rolled(rolling.rolling_features(index, o, ["2d", "full"]))
     assert {k: v[2] for k, v in got.items()} == {(1, T + D, "A", "2d"): 1.0, (1, T + D, "A", "full"): 1.0, (1, T + 30 * D, "A", "full"): 3.0}
 
 
-def test_rolling_arguments(spark):
+@pytest.mark.parametrize("short", [256, 0])
+def test_rolling_arguments(spark, monkeypatch, short):
+    monkeypatch.setattr(rolling, "_SHORT", short)
     o = obs(spark, [])
     index = features.event_index(o)
     assert rolling.rolling_features(index, o, ["1d", "full"]).count() == 0
