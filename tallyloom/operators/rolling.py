@@ -4,7 +4,7 @@ The window of size W that ends at t holds the events in (t - W, t]. Events of a
 share a time and code are first merged to one *partial* (count, value count, sum, sum of squares,
 least, greatest); all six aggregations of all windows are then made from partials in one pass.
 
-A subject with a short history has its index rows joined with its partials: no row meets more
+A subject with a short history of few codes has its index rows joined with its partials: no row meets more
 than a few hundred, and everything of a subject is done where it lies. Where histories are long,
 that would be quadratic. There, what a code's windows hold changes only where an event comes in or, W later, goes out. So the
 aggregations are computed at these *points* alone, by RANGE frames, and hold until the next one.
@@ -42,8 +42,9 @@ _PARTS = {
 
 
 _MERGES = {"n": F.sum, "nv": F.sum, "s": F.sum, "ss": F.sum, "lo": F.min, "hi": F.max}
-#: Histories of at most so many rows are short.
-_SHORT = 256
+#: Histories of at most so many rows, of at most so many codes, are short. With many codes joined rows hardly
+#: merge, and the aggregation is as large as the result, which the other way never sorts or shuffles.
+_SHORT, _FEW = 256, 16
 #: Index times are kept in blocks of so many rows of a subject.
 _BLOCK = 1024
 #: Points are sorted in chunks of time as long as the longest bounded window, but no shorter than a year.
@@ -159,13 +160,18 @@ def rolling_features(
         raise ValueError("no window or aggregation asked for")
     sizes = {w: parse_window(w) for w in windows}
     index = index.select("subject_id", "time").where("subject_id is not null and time is not null").distinct()
-    counted = (events if partials is None else partials).groupBy("subject_id").agg(F.count("*").alias("_rows"))
-    long = staged(counted.where(F.col("_rows") > _SHORT).select("subject_id"), "long")
+    counted = (events if partials is None else partials).groupBy("subject_id", "code").count().groupBy("subject_id").agg(F.sum("count").alias("_rows"), F.count("*").alias("_codes"))
+    is_long = (F.col("_rows") > _SHORT) | (F.col("_codes") > _FEW)
+    counted = staged(counted.select("subject_id", "_rows", is_long.alias("_long")), "sizes")
+    in_long, in_all = counted.agg(F.sum(F.when(F.col("_long"), F.col("_rows"))), F.sum("_rows")).first()
     partials = collapse_same_time(events, scale) if partials is None else partials
-    if long.isEmpty():
+    if not in_long:
         return _by_pairs(index, partials, sizes, aggs)
     # Both are read by several branches of the plan, so what they come from runs once.
     index, partials = staged(index, "index"), staged(partials, "partials")
+    if in_long * 2 > in_all:  # what is short is not worth a plan of its own
+        return _by_points(index, partials, sizes, aggs)
+    long = counted.where("_long").select("subject_id")
     short, rest = ([side.join(long, "subject_id", how) for side in (index, partials)] for how in ("left_anti", "left_semi"))
     return _by_pairs(*short, sizes, aggs).unionByName(_by_points(*rest, sizes, aggs))
 

@@ -167,7 +167,7 @@ def test_all_plans_and_a_naive_one_agree(spark, rows):
     index = [(r[0], r[1]) for r in rows if r[1] is not None]
     table = features.event_index(o)
     expected = naive(index, rows, windows)
-    for short in (256, 4, 0):  # all histories are short, some are, none is
+    for short in (256, 12, 4, 0):  # all histories are short, some are, none is
         with mock.patch.object(rolling, "_SHORT", short):
             assert rolled(rolling.rolling_features(table, o, windows, scale=1)) == expected
     assert rolled(rolling.rolling_by_spine(table, o, windows, scale=1)) == expected
