@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.workspace import exists
+from tallyloom.workspace import exists, file_system
 
 
 def finished(spark: SparkSession, path: str) -> bool:
@@ -16,17 +17,32 @@ def finished(spark: SparkSession, path: str) -> bool:
     return exists(spark, f"{path}/_SUCCESS")
 
 
+@contextmanager
+def locked(spark: SparkSession, path: str) -> Iterator[None]:
+    """Hold ``<path>.lock``, made in one step by one run only."""
+    lock = f"{path.rstrip('/')}.lock"
+    fs, target = file_system(spark, lock)
+    if not fs.createNewFile(target):
+        raise FileExistsError(f"{path} is being written; if no run does so, delete {lock}")
+    try:
+        yield
+    finally:
+        fs.delete(target, False)
+
+
 def write_table(df: DataFrame, path: str, overwrite: bool = False, skip_if_exists: bool = False, partition_by: Sequence[str] = (), compression: str = "zstd") -> bool:
     """Write a table as Parquet; True if it was written.
 
     A path that exists is an error, unless ``overwrite``, or ``skip_if_exists`` and the table
-    there is complete. TypeError for anything but a DataFrame.
+    there is complete. So is a path that another run is writing: a file ``<path>.lock`` says so,
+    which a run that was killed leaves behind. TypeError for anything but a DataFrame.
     """
     if not isinstance(df, DataFrame):
         raise TypeError(f"can't write a {type(df).__name__}")
     if skip_if_exists and not overwrite and finished(df.sparkSession, path):
         return False
-    df.write.mode("overwrite" if overwrite else "errorifexists").option("compression", compression).partitionBy(*partition_by).parquet(path)
+    with locked(df.sparkSession, path):
+        df.write.mode("overwrite" if overwrite else "errorifexists").option("compression", compression).partitionBy(*partition_by).parquet(path)
     return True
 
 

@@ -71,6 +71,9 @@ def test_sinks(spark, tmp_path):
         sinks.write_table(df, path)
     assert not sinks.write_table(df, path, skip_if_exists=True) and sinks.write_table(df.limit(1), path, overwrite=True)
     assert spark.read.parquet(path).count() == 1
+    with sinks.locked(spark, path), pytest.raises(FileExistsError):
+        sinks.write_table(df, path, overwrite=True)
+    assert sinks.write_table(df, path, overwrite=True) and not (tmp_path / "t.lock").exists()
     with pytest.raises(TypeError):
         sinks.write_table([1], path)
     cells = spark.createDataFrame([(1, "7d", "code/count", "A", 2.0), (1, None, "static/first", "B", 0.0), (1, None, "static/present", "B", 1.0), (1, "7d", "value/sum", "A", float("nan"))], "subject_id long, window string, agg string, code string, value double")
