@@ -117,6 +117,25 @@ def test_grouped_splits(spark):
     assert {r.id for r in out if r.in_current} == {i for i, s in current if s is not None}
 
 
+def test_splits_without_broadcasts(spark):
+    """Where tables are over the planner's limit, joins are by shuffle: only the table of bins is broadcast."""
+    links = [(i, i + 1) for i in range(0, 90, 3)] + [(200 + i, 200) for i in range(1, 30)]
+    tables = [
+        spark.createDataFrame([(i, i % 7 + 1) for i in range(300)], "s long, n long"), spark.createDataFrame(links, "a long, b long"),
+        spark.createDataFrame([("train", 0.7), ("tuning", 0.3)], "split_name string, share double"), spark.createDataFrame([(i, "train") for i in range(100)] + [(1, "tuning")], "s long, x string"),
+    ]
+    rows = sorted(tuple(r) for r in splits.grouped_splits(*tables).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = splits.grouped_splits(*tables)
+        assert sorted(tuple(r) for r in out.collect()) == rows
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().toString() and "SortMergeJoin" in out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
 def test_without_balancing_no_person_counts_as_kept(spark, monkeypatch):
     monkeypatch.setattr(splits, "allocate", lambda sums, targets: {b: None for b, _ in sums})
     out = splits.grouped_splits(
