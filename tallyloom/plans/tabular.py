@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.names import bare_code
 from tallyloom.operators import assemble, describe, encode, features, metrics, models, neighbours, prep, rolling, selection, static, subsets, sweep, task, tasks
 from tallyloom.operators.ordering import number_rows
 from tallyloom.plans.tabular_sql import SQL  # noqa: F401
@@ -211,6 +212,22 @@ def _imputed(spark: SparkSession, folder: str, strategy: str) -> DataFrame:
     return prep.impute(labels, cells, strategy).withColumn("value", F.round("value", 6))
 
 
+def preprocessed_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells imputed and then scaled, both fitted on the labels of train."""
+    labels, cells = _label_cells(spark, folder, ["7d"])
+    of_train = tables.split_of_subject(F.col("subject_id")) == "train"
+    train, fit = labels.where(of_train), cells.where(of_train)
+    filled, filled_train = prep.impute(labels, cells, "mean", fit_on=fit), prep.impute(train, fit, "mean")
+    return prep.standard_scale(filled, train.count(), filled_train).withColumn("value", F.round("value", 6))
+
+
+def select_count_and_correlation(spark: SparkSession, folder: str) -> DataFrame:
+    """Frequent features whose code has a column that goes with the label."""
+    frequent = features.select_features(describe.code_frequencies(_events(spark, folder)), min_count=500)
+    strong = selection.select_min_correlation(selection.label_correlation(*_label_cells(spark, folder)), 0.05)
+    return frequent.join(strong.withColumnRenamed("code", "_bare"), bare_code(F.col("code")) == F.col("_bare"), "left_semi")
+
+
 def auc_exact(spark: SparkSession, folder: str) -> DataFrame:
     labels, cells = _label_cells(spark, folder, ["7d"], ["code/count"])
     totals = cells.groupBy("subject_id", "time").agg(F.sum("value").alias("score"))
@@ -315,6 +332,8 @@ QUERIES = {
     "select_max_by_correlation": partial(_by_correlation, pick=selection.select_max_by_correlation, value=2),
     "scale_standard": partial(_scaled, how="standard"),
     "scale_max_abs": partial(_scaled, how="max_abs"),
+    "select_count_and_correlation": select_count_and_correlation,
+    "preprocessed_cells": preprocessed_cells,
     "impute_mean": partial(_imputed, strategy="mean"),
     "impute_median": partial(_imputed, strategy="median"),
     "impute_mode": partial(_imputed, strategy="mode"),

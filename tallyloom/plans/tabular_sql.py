@@ -157,6 +157,13 @@ s AS (SELECT "window", agg, code, sqrt(greatest(q / (SELECT n FROM n) - (m / (SE
 SELECT subject_id, time, "window", agg, code, round(value / CASE WHEN d > 0 THEN d ELSE 1 END, 6) AS value FROM c JOIN s USING ("window", agg, code)""",
     "scale_max_abs": f"""WITH {_CELLS}, s AS (SELECT "window", agg, code, max(abs(value)) AS d FROM c GROUP BY 1, 2, 3)
 SELECT subject_id, time, "window", agg, code, round(value / CASE WHEN d > 0 THEN d ELSE 1 END, 6) AS value FROM c JOIN s USING ("window", agg, code)""",
+    "select_count_and_correlation": f"WITH {_CORR}, {_F} SELECT code, count FROM f WHERE count >= 500 AND regexp_replace(code, '/(code|value)$', '') IN (SELECT code FROM r GROUP BY 1 HAVING max(abs(r)) > 0.05)",
+    "preprocessed_cells": f"""WITH {_CELLS},
+x AS (SELECT agg, code, avg(value) AS fill FROM c WHERE "window" = '7d' AND subject_id % 10 < 7 GROUP BY 1, 2),
+dense AS MATERIALIZED (SELECT l.subject_id, l.time, x.agg, x.code, coalesce(c.value, x.fill) AS value
+  FROM l CROSS JOIN x LEFT JOIN c ON c.subject_id = l.subject_id AND c.time = l.time AND c."window" = '7d' AND c.agg = x.agg AND c.code = x.code),
+spread AS (SELECT agg, code, stddev_pop(value) AS s FROM dense WHERE subject_id % 10 < 7 GROUP BY 1, 2)
+SELECT subject_id, time, '7d' AS "window", agg, code, round(value / CASE WHEN s > 0 THEN s ELSE 1 END, 6) AS value FROM dense JOIN spread USING (agg, code)""",
     "impute_mean": _imputed("mean"),
     "impute_median": _imputed("median"),
     "impute_mode": _imputed("mode"),
