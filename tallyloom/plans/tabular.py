@@ -280,7 +280,7 @@ def knn_predictions(spark: SparkSession, folder: str) -> DataFrame:
     labels, cells = _label_cells(spark, folder, ["7d"], ["code/count"])
     names = features.selected_names(describe.code_frequencies(_events(spark, folder)))
     columns = assemble.column_table(names, ["7d"], ["code/count"])
-    rows = assemble.dense_columns(number_rows(labels, ["subject_id", "time"], "row"), cells, columns)
+    rows = staged(assemble.dense_columns(number_rows(labels, ["subject_id", "time"], "row"), cells, columns), "matrix")
     split = tables.split_of_subject(F.col("subject_id"))
     scores = neighbours.knn_scores(rows.where(split == "train"), rows.where(split == "held_out"), [c[4] for c in columns], "row", k=5)
     return scores.withColumn("score", F.round("score", 9))

@@ -2,6 +2,7 @@ import datetime as dt
 import itertools
 from unittest import mock
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -362,6 +363,42 @@ def test_neighbours(spark, weights, p):
         assert got[key] == pytest.approx(want)
 
 
+def test_neighbours_read_once(spark):
+    """Rows at one place are one point, each side is read once whatever the number of blocks, and ties go by label."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    rng = np.random.default_rng(5)
+    at, label, wanted = rng.integers(0, 6, (900, 2)).astype(float), rng.integers(0, 2, 900), rng.integers(-1, 7, (300, 2)).astype(float)
+    kind = "id long, x double, y double, label int"
+    train = spark.createDataFrame([(i, *map(float, p), int(lab)) for i, (p, lab) in enumerate(zip(at, label, strict=True))], kind).mapInPandas(seen, kind)
+    queries = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(wanted)], "id long, x double, y double").mapInPandas(seen, "id long, x double, y double")
+    got = {r.id: r.score for r in neighbours.knn_scores(train, queries, ["x", "y"], "id", k=30, block=20).collect()}
+    assert read.value == 1200 and len(got) == 300
+    for i, p in enumerate(wanted):
+        d = ((at - p) ** 2).sum(axis=1)
+        assert got[i] == pytest.approx(label[np.lexsort((label, d))][:30].mean())
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_neighbours_boxes(p):
+    """Searching boxes finds what looking at all points finds, NaN and all."""
+    rng = np.random.default_rng(p)
+    x, y, n, q = (4 * rng.normal(size=(3000, 3))).round() / 4, rng.integers(0, 2, 3000), rng.integers(1, 4, 3000), (4 * rng.normal(size=(200, 3))).round() / 4
+    x[7, 1] = q[3, 0] = np.nan
+    assert sorted(np.concatenate(neighbours.boxes(x))) == list(range(3000)) and max(map(len, neighbours.boxes(x))) <= 64
+    for group, d, labels, counts in neighbours.nearest_points(neighbours.tree_of(x, y, n), q, 6, p):
+        for i, row, lab, c in zip(group, d, labels, counts, strict=True):
+            far = (np.abs(x - q[i]) ** p).sum(axis=1)
+            want = [e for j in np.lexsort((y, far)) for e in [(far[j] ** (1 / p), y[j])] * n[j]][:6]
+            found = [(e, b) for e, b, m in zip(row, lab, c, strict=True) for _ in range(m)][:6]
+            assert [b for _, b in found] == [b for _, b in want] and np.allclose([e for e, _ in found], [e for e, _ in want], equal_nan=True)
+
+
 def test_neighbours_as_a_model(spark, tmp_path):
     rows = [(i, T, i % 2, Vectors.sparse(3, {0: float(i % 2), 1: i / 40})) for i in range(30)] + [(90, T, None, Vectors.sparse(3, {}))]
     kinds = spark.createDataFrame([], "subject_id long, time timestamp_ntz, label int").schema
