@@ -349,6 +349,27 @@ def test_preparation(spark):
         prep.fill_values(cells, "guess")
 
 
+def test_dense_windows_by_running_aggregates(spark, capsys):
+    """Long histories: no frame is bound at both ends, whose rows would be gone through at every point, and sums are of what a window holds alone."""
+    rows = [(1, T + i * H / 2, "A" if i % 3 else "B", [1e16, 1.0, None, -3.5][i % 4] if i < 150 else float(i % 5)) for i in range(400)]
+    events = spark.createDataFrame(rows, OBS)
+    windows = {"1h": H, "2d": 2 * D, "365d": 365 * D}
+    out = rolling.rolling_features(events, events, list(windows), ["code/count", "value/sum", "value/min"])
+    out.explain(True)
+    frames = [f.split(")")[0] for f in capsys.readouterr().out.split("specifiedwindowframe(")[1:]]
+    assert frames and all("unbounded" in f or "RowFrame" in f for f in frames)
+    got = {(r.time, r.code, r.window): (r.code_count, r.value_sum, r.value_min) for r in out.collect()}
+    want = {}
+    for w, size in windows.items():
+        for t in (r[1] for r in rows):
+            for code in "AB":
+                held = [r[3] for r in rows if r[2] == code and t - size < r[1] <= t]
+                values = [v for v in held if v is not None]
+                if held:
+                    want[t, code, w] = (len(held), pytest.approx(sum(values), rel=1e-12) if values else None, min(values, default=None))
+    assert got == want
+
+
 @pytest.mark.parametrize(("weights", "p"), [("uniform", 2), ("distance", 1)])
 def test_neighbours(spark, weights, p):
     points = [(i, float(i * i % 7), float(i % 3), i % 2) for i in range(40)]
