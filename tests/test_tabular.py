@@ -370,6 +370,22 @@ def test_dense_windows_by_running_aggregates(spark, capsys):
     assert got == want
 
 
+def test_all_windows_move_rows_once(spark, monkeypatch):
+    """Long histories: more windows shuffle no more often; codes of a chunk are shared out; sums past 64 bits are exact."""
+    for name, value in (("_SHORT", 0), ("_GROUP_ROWS", 20), ("_GROUP_CELLS", 300)):
+        monkeypatch.setattr(rolling, name, value)
+    rows = [(1 + i % 7 // 6, T + i * i % 997 * D, "ABCD"[i % 4], [1e15 + 1, 2.5, None, -4.0][i // 4 % 4]) for i in range(160)]
+    o, index = obs(spark, rows), [(r[0], r[1]) for r in rows]
+    windows = ["1d", "5d", "30d", "365d", "800d", "full"]
+    out, two = (rolling.rolling_features(features.event_index(o), o, w, scale=1) for w in (windows, ["365d", "full"]))
+    plans = [df._jdf.queryExecution().executedPlan().toString().count("Exchange ") for df in (out, two)]
+    assert plans[0] == plans[1]
+    got, want = rolled(out), naive(index, rows, windows)
+    assert got.keys() == want.keys()
+    for key, value in want.items():
+        assert got[key] == pytest.approx(value, rel=1e-14) if value[1] else got[key] == value
+
+
 @pytest.mark.parametrize(("weights", "p"), [("uniform", 2), ("distance", 1)])
 def test_neighbours(spark, weights, p):
     points = [(i, float(i * i % 7), float(i % 3), i % 2) for i in range(40)]
