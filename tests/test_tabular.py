@@ -372,7 +372,7 @@ def test_dense_windows_by_running_aggregates(spark, capsys):
 
 def test_all_windows_move_rows_once(spark, monkeypatch):
     """Long histories: more windows shuffle no more often; codes of a chunk are shared out; sums past 64 bits are exact."""
-    for name, value in (("_SHORT", 0), ("_GROUP_ROWS", 20), ("_GROUP_CELLS", 300)):
+    for name, value in (("_SHORT", 0), ("_GROUP_ROWS", 20), ("_GROUP_CELLS", 300), ("_WHOLE_ROWS", 30)):
         monkeypatch.setattr(rolling, name, value)
     rows = [(1 + i % 7 // 6, T + i * i % 997 * D, "ABCD"[i % 4], [1e15 + 1, 2.5, None, -4.0][i // 4 % 4]) for i in range(160)]
     o, index = obs(spark, rows), [(r[0], r[1]) for r in rows]
